@@ -12,6 +12,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _STEPS = 10_000
 _EPS = 1e-16
@@ -144,21 +145,21 @@ def _rows(fn, *cols: pd.Series) -> pd.Series:
     return pd.Series([fn(*map(float, v)) for v in zip(*cols)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def correlation_p(r: pd.Series, n: pd.Series) -> pd.Series:
     return _rows(r_p_value, r, n)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_p(x: pd.Series, df: pd.Series) -> pd.Series:
     return _rows(chi2_upper, x, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def mann_whitney_p(u1: pd.Series, n1: pd.Series, n2: pd.Series, tie_sum: pd.Series) -> pd.Series:
     return _rows(u_two_sided, u1, n1, n2, tie_sum)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     return _rows(normal_two_sided, z)
