@@ -96,8 +96,8 @@ def check(responses: DataFrame, text: str = "response") -> DataFrame:
 def parse(responses: DataFrame, text: str = "response") -> tuple[DataFrame, DataFrame]:
     """(hypotheses, errors). A response with any fault is rejected whole; its text is kept.
 
-    Hypotheses: dataset, pos and the typed fields. `spec_kind` tells whether the validation spec
-    was an object, as that key is not required here.
+    Hypotheses: dataset, pos and the typed fields. `has_spec` tells whether there is a validation
+    spec with content, as that key is not required here.
     """
     checked = check(responses, text)
     errors = checked.filter(F.col("error").isNotNull()).select(
@@ -110,14 +110,15 @@ def parse(responses: DataFrame, text: str = "response") -> tuple[DataFrame, Data
 def typed(each: DataFrame) -> DataFrame:
     """Hypothesis columns from (dataset, pos, h variant)."""
     spec = F.try_variant_get("h", "$.validation_spec", "variant")
-    raw = F.to_json("h")
+    controls = F.try_variant_get(spec, "$.controls", "variant")
+    has_controls = F.coalesce(F.array_contains(_keys(spec), "controls"), F.lit(False))
     return each.select(
-        "dataset", "pos", F.from_json(raw, schemas.HYPOTHESIS).alias("t"),
-        _is_object(spec).alias("has_spec"),
+        "dataset", "pos", F.from_json(F.to_json("h"), schemas.HYPOTHESIS).alias("t"),
+        (_is_object(spec) & (F.size(F.coalesce(_keys(spec), F.array().cast("array<string>"))) > 0)).alias("has_spec"),
+        _is_list(F.try_variant_get(spec, "$.predictors", "variant")).alias("predictors_listed"),
+        (_is_list(controls) | ~has_controls).alias("controls_listed"),
         F.coalesce(F.to_json(spec), F.lit("{}")).alias("spec_json"),
-        _kind(F.try_variant_get(spec, "$.predictors", "variant")).alias("predictors_kind"),
-        _kind(F.try_variant_get(spec, "$.controls", "variant")).alias("controls_kind"),
-    ).select("dataset", "pos", "t.*", "has_spec", "spec_json", "predictors_kind", "controls_kind")
+    ).select("dataset", "pos", "t.*", "has_spec", "predictors_listed", "controls_listed", "spec_json")
 
 
 def response_metadata(responses: DataFrame, text: str = "response") -> DataFrame:
