@@ -355,7 +355,9 @@ class Bench:
         if linear:
             parts.append(least_squares(frame, linear, weights))
         if logit:
-            parts.append(logistic(frame.persist(), logit, weights))
+            held = frame.persist()
+            parts.append(logistic(held, logit, weights))
+            held.unpersist()
         spark = frame.sparkSession
         parts.append(spark.createDataFrame(
             [(p, 0, None, None, None, None, note) for p, note in faults],
