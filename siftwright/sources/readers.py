@@ -112,7 +112,7 @@ def read_associations(spark: SparkSession, path: str, dataset: str) -> DataFrame
 
 
 def _whole_file(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("wholetext", True).text(path).select(
+    return spark.read.text(path, wholetext=True).select(
         F.col("value"), F.input_file_name().alias("path")
     )
 
