@@ -14,6 +14,7 @@ from siftwright.operators.moments import correlations
 from siftwright.operators.prep import Prep
 from siftwright.operators.profile import profile
 from siftwright.operators.screen import ScreenConfig, eligible, screen, screen_and_correct
+from siftwright.plans.materialize import small_frame
 
 SHOWN = ["var1", "var2", "type", "relationship", "test", "effect", "effect_name", "n", "notes"]
 
@@ -97,7 +98,7 @@ def _(spark, sf):
     """More pairs than built-in aggregates take: one matrix product per batch."""
     df = table(spark, sf, "lineitem").selectExpr(*[f"cast({e} as double) as {v}" for v, e in WIDE_EXPR.items()])
     pairs = [(i, a, b) for i, (a, b) in enumerate(combinations(WIDE, 2))]
-    names = F.broadcast(spark.createDataFrame(pairs, "pos int, a string, b string"))
+    names = F.broadcast(small_frame(spark, pairs, "pos int, a string, b string"))
     return digits(correlations(df, pairs).join(names, "pos").select("a", "b", "n", "r"))
 
 
@@ -199,7 +200,7 @@ def _(spark, sf):
     c = table(spark, sf, "customer")
     facts = {r["column"]: r.asDict() for r in profile(c).collect()}
     numeric, cats = eligible(c, facts)
-    return spark.createDataFrame([(x, "numeric") for x in numeric] + [(x, "category") for x in cats], "column string, role string")
+    return small_frame(spark, [(x, "numeric") for x in numeric] + [(x, "category") for x in cats], "column string, role string")
 
 
 # ---- multiple testing ---------------------------------------------------------------------------

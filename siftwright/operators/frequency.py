@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwright.plans.materialize import pin
+from siftwright.plans.materialize import pin, small_frame
 
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 FRACTIONAL = (T.FloatType, T.DoubleType, T.DecimalType)
@@ -124,7 +124,7 @@ def pick_positions(parts: DataFrame, targets: list[tuple[int, int, str, int]]) -
     if not targets:
         return {}
     spark = parts.sparkSession
-    wanted = spark.createDataFrame(targets, "cid int, pid int, label string, k bigint")
+    wanted = small_frame(spark, targets, "cid int, pid int, label string, k bigint")
     inside = Window.partitionBy("cid", "pid").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     hit = (
         parts.select("cid", "pid", "value", "freq")

@@ -11,6 +11,7 @@ from siftwright import schemas
 from siftwright.operators.profile import (
     ProfileConfig, ingest, original_types, profile_frame, profile_rows,
 )
+from siftwright.plans.materialize import small_frame
 
 
 @dataclass(frozen=True)
@@ -43,8 +44,7 @@ class Prep:
         cfg = self.profile_config
         rows = profile_rows(ingest(df, cfg.on_complex), cfg, original_types(df, cfg))
         spark = df.sparkSession
-        rules = self.rules(spark.createDataFrame(
-            [r.asDict() for r in rows],
+        rules = self.rules(small_frame(spark, [r.asDict() for r in rows],
             "column string, position int, feature_type string, dtype string, missing_rate double, "
             "skewness double, outlier_rate double, lower_bound double, upper_bound double, "
             "numeric boolean, mean double, median double",
@@ -113,7 +113,7 @@ class PrepModel:
         return self.rules[0]["dataset"] if self.rules else "dataset"
 
     def state(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rules, schemas.PREP_STATE)
+        return small_frame(spark, self.rules, schemas.PREP_STATE)
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.state(spark).coalesce(1).write.mode("overwrite").json(path)
@@ -203,7 +203,7 @@ class PrepModel:
                     "lower_bound": o["lower_bound"], "upper_bound": o["upper_bound"],
                     "outlier_rate_on_transformed": rates.get(name) if bounded else None,
                 })
-        return spark.createDataFrame(log, schemas.TRANSFORM_LOG)
+        return small_frame(spark, log, schemas.TRANSFORM_LOG)
 
     def summary(self, raw: DataFrame, cleaned: DataFrame, mode: str) -> DataFrame:
         out = self.output_columns()

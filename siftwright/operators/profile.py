@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from siftwright import schemas
 from siftwright.operators import frequency as V
+from siftwright.plans.materialize import small_frame
 
 # Fixed text that every profile row carries.
 LEAKAGE_NOTE = (
@@ -128,7 +129,8 @@ def numeric_stats(df: DataFrame, columns: list[tuple[int, str]]) -> dict[int, di
         s["int_share"] = s["whole"] / s["n_non_null"]
         s["iqr"] = q3 - q1
         s["low"], s["high"] = q1 - 1.5 * s["iqr"], q3 + 1.5 * s["iqr"]
-    known = df.sparkSession.createDataFrame(
+    known = small_frame(
+        df.sparkSession,
         [(cid, s["mean"], s["low"], s["high"]) for cid, s in stats.items()],
         "cid int, mean double, low double, high double",
     )
@@ -172,8 +174,7 @@ def profile_rows(df: DataFrame, cfg: ProfileConfig, original: dict[str, T.DataTy
                 s.get("low"), s.get("high"), s.get("n_out"),
             )
         )
-    facts = spark.createDataFrame(
-        raw,
+    facts = small_frame(spark, raw,
         "column string, position int, numeric boolean, is_bool boolean, dtype string, "
         "n_total bigint, n_non_null bigint, n_unique bigint, int_share double, mean double, "
         "median double, m2 double, m3 double, iqr double, low double, high double, n_out bigint",
@@ -256,4 +257,4 @@ def original_types(df: DataFrame, cfg: ProfileConfig) -> dict[str, T.DataType]:
 def profile_frame(spark, dataset: str, rows: list) -> DataFrame:
     names = [p.split()[0] for p in schemas.PROFILE.replace("\n", " ").split(", ")]
     data = [(dataset, *[r[n] for n in names[1:]]) for r in rows]
-    return spark.createDataFrame(data, schemas.PROFILE)
+    return small_frame(spark, data, schemas.PROFILE)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from siftwright.functions.tails import normal_two_sided, t_two_sided
 from siftwright.functions.weights import Weights
+from siftwright.plans.materialize import small_frame
 
 NEWTON_STEPS = 35
 NEWTON_TOLERANCE = 1e-8
@@ -261,7 +262,7 @@ def logistic(frame: DataFrame, designs: list[Design], weights: Weights) -> DataF
             z = b / np.sqrt(np.diag(inv)[1:])
             pv = np.array([normal_two_sided(float(v)) for v in z])
             out.append((d.pos, r, *_main_effect(n, b / d.scales()[live], pv, z * z, want[live], names[live])))
-    return spark.createDataFrame(out, RESULT)
+    return small_frame(spark, out, RESULT)
 
 
 def _newton_sums(frame, designs, weights, beta, moving) -> dict:

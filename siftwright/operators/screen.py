@@ -14,7 +14,7 @@ from siftwright.operators import frequency as V
 from siftwright.operators.fdr import EffectLimits, correct
 from siftwright.operators.moments import correlations
 from siftwright.operators.ranks import pair_rank_correlation, pair_rank_sums, rank_rows
-from siftwright.plans.materialize import pin, with_row_id
+from siftwright.plans.materialize import pin, small_frame, with_row_id
 
 NUMERIC_TYPES = ("numeric_continuous", "numeric_ordinal")
 CATEGORY_TYPES = ("categorical_low_cardinality", "categorical_high_cardinality", "binary")
@@ -98,7 +98,7 @@ def level_code(column: str, levels: list[str]) -> Column:
 
 
 def _pairs_frame(spark, rows: list[tuple]) -> DataFrame:
-    return F.broadcast(spark.createDataFrame(rows, "pos int, var1 string, var2 string"))
+    return F.broadcast(small_frame(spark, rows, "pos int, var1 string, var2 string"))
 
 
 def _rows_of(pairs: DataFrame, stats: DataFrame, **columns) -> DataFrame:
@@ -257,8 +257,7 @@ def complete_levels(df: DataFrame, pairs: list[tuple[int, str, str]], sides: tup
 
 
 def _skipped(spark, rows: list[tuple]) -> DataFrame:
-    return spark.createDataFrame(
-        rows, "pos int, var1 string, var2 string, type string, relationship string, test string, "
+    return small_frame(spark, rows, "pos int, var1 string, var2 string, type string, relationship string, test string, "
         "effect double, effect_name string, p_value double, n bigint, notes string",
     )
 
@@ -281,7 +280,7 @@ def screen(
     numeric, cats = eligible(df, facts)
     spark = df.sparkSession
     if not numeric and not cats:
-        return spark.createDataFrame([], schemas.ASSOCIATIONS + ", pair_pos int")
+        return small_frame(spark, [], schemas.ASSOCIATIONS + ", pair_pos int")
     keep = [F.col(f"`{key}`")] if key and key not in numeric + cats else []
     slim = df.select(*keep, *[V.as_double(c).alias(c) for c in numeric], *[F.col(f"`{c}`").cast("string").alias(c) for c in cats])
     slim = with_row_id(slim, key)
@@ -307,7 +306,7 @@ def screen(
     for part in out:
         rows = part if rows is None else rows.unionByName(part)
     if rows is None:
-        return spark.createDataFrame([], schemas.ASSOCIATIONS + ", pair_pos int")
+        return small_frame(spark, [], schemas.ASSOCIATIONS + ", pair_pos int")
     return pin(rows.select(F.lit(dataset).alias("dataset"), *schemas.ASSOCIATION_COLUMNS, F.col("pos").alias("pair_pos")))
 
 
@@ -373,7 +372,7 @@ def _numeric_families(slim: DataFrame, plan: Plan, cfg: ScreenConfig, num_num: l
             rhos.append(correlations(table, [(p, f"r{ids[a]}", f"r{ids[b]}") for p, a, b in fast_nn]))
         if fast_nc:
             sums.append(_rank_sums(table, fast_nc, ids, cat_ids, lists))
-            link = spark.createDataFrame([(p, ids[a]) for p, a, _ in fast_nc], "pos int, cid int")
+            link = small_frame(spark, [(p, ids[a]) for p, a, _ in fast_nc], "pos int, cid int")
             ties.append(tie_sums.join(F.broadcast(link), "cid").select("pos", "ties"))
     if slow_nn:
         structs = [F.struct(F.lit(p).alias("pos"), F.col(f"`{a}`").alias("x"), F.col(f"`{b}`").alias("y")) for p, a, b in slow_nn]

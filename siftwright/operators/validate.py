@@ -20,7 +20,7 @@ from siftwright.operators.regression import Design, Term, least_squares, logisti
 from siftwright.operators.screen import (
     cell_counts, contingency, level_code, pair_sums, rank_anova, two_group_effect, variance_share,
 )
-from siftwright.plans.materialize import pin, with_row_id
+from siftwright.plans.materialize import pin, small_frame, with_row_id
 
 PAIRWISE = ["pearsonr", "spearmanr", "mannwhitneyu", "kruskal", "chi2"]
 REGRESSIONS = ["linear_regression", "logistic_regression"]
@@ -190,8 +190,7 @@ class Bench:
         cases = self.complete()
         parts: list[DataFrame] = []
         done = [s.pos for s in self.specs if cases.get(s.pos) == 0]
-        parts.append(spark.createDataFrame(
-            [(p, False, None, "", None, "", None, "", "no_complete_cases") for p in done], RESULT
+        parts.append(small_frame(spark, [(p, False, None, "", None, "", None, "", "no_complete_cases") for p in done], RESULT
         ))
         live = {t: [s for s in self.of(t) if s.pos not in done] for t in PAIRWISE}
         if live["pearsonr"]:
@@ -238,7 +237,7 @@ class Bench:
     def _row(self, specs: list[Spec], stats: DataFrame, name: str, effect: Column, p: Column, fail: Column) -> DataFrame:
         """Result rows; a hypothesis without a row in `stats` was not testable."""
         spark = self.frame.sparkSession
-        base = spark.createDataFrame([(s.pos, s.test) for s in specs], "pos int, test string")
+        base = small_frame(spark, [(s.pos, s.test) for s in specs], "pos int, test string")
         got = stats.select("pos", F.col("n").cast("bigint").alias("n"), effect.alias("effect"), p.alias("p_value"))
         ok = F.col("effect").isNotNull()
         return F.broadcast(base).join(got, "pos", "left").select(
@@ -359,8 +358,7 @@ class Bench:
             parts.append(logistic(held, logit, weights))
             held.unpersist()
         spark = frame.sparkSession
-        parts.append(spark.createDataFrame(
-            [(p, 0, None, None, None, None, note) for p, note in faults],
+        parts.append(small_frame(spark, [(p, 0, None, None, None, None, note) for p, note in faults],
             "pos int, rep int, n double, effect double, p_value double, main_column string, note string",
         ))
         out = parts[0]
@@ -392,7 +390,7 @@ class Bench:
             parts.append(B.table_effects(frame, got, weights))
         fitted = self.regressions(weights, only)
         spark = frame.sparkSession
-        out = spark.createDataFrame([], "pos int, rep int, effect double, main_column string")
+        out = small_frame(spark, [], "pos int, rep int, effect double, main_column string")
         for p in parts:
             out = out.unionByName(p.select("pos", "rep", "effect", F.lit("").alias("main_column")))
         if fitted is not None:
@@ -509,8 +507,8 @@ def validate(
         F.col("test_plan.primary_test").alias("primary_test"), F.col("spec_json").alias("validation_spec"),
     )
     if not specs:
-        tested = spark.createDataFrame([], RESULT)
-        boot_summary = spark.createDataFrame([], BOOT)
+        tested = small_frame(spark, [], RESULT)
+        boot_summary = small_frame(spark, [], BOOT)
         results = settle(judge(head.join(tested, "pos", "left"), cfg.limits), boot_summary)
         return Validation(_columns(results), rejections(mine), kept, summary(results, mine, cfg))
     bench = Bench(df, specs, key, cfg)
@@ -519,10 +517,9 @@ def validate(
     n_rows = bench.frame.count()
     effects = None
     if not winners:
-        boot = spark.createDataFrame([], BOOT)
+        boot = small_frame(spark, [], BOOT)
     elif n_rows < cfg.limits.min_n:
-        boot = spark.createDataFrame(
-            [(p, False, None, None, None, None, None, None, None, None, False, "test_set_too_small_for_bootstrap") for p in winners], BOOT
+        boot = small_frame(spark, [(p, False, None, None, None, None, None, None, None, None, False, "test_set_too_small_for_bootstrap") for p in winners], BOOT
         )
     else:
         weights = Weights(cfg.weights, cfg.bootstrap_iterations, cfg.bootstrap_seed, n_rows)

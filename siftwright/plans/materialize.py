@@ -7,8 +7,11 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -46,3 +49,21 @@ def with_row_id(df: DataFrame, key: str | None = None, name: str = "rid") -> Dat
     if key is not None:
         return df.withColumn(name, F.col(key))
     return pin(df.withColumn(name, F.monotonically_increasing_id()))
+
+
+def small_frame(spark: SparkSession, rows: list, ddl: str) -> DataFrame:
+    """A driver-made table (one row per column, pair or hypothesis) as a local relation.
+
+    Built from Arrow, it joins and broadcasts without a job of its own.
+    """
+    schema = T.StructType.fromDDL(ddl)
+    values = [tuple(r) if not isinstance(r, dict) else tuple(r.get(n) for n in schema.names) for r in rows]
+    return spark.createDataFrame(pa.Table.from_pylist(
+        [dict(zip(schema.names, (_plain(x) for x in v))) for v in values], schema=to_arrow_schema(schema)
+    ), schema)
+
+
+def _plain(x):
+    if isinstance(x, Row):
+        return {k: _plain(v) for k, v in x.asDict().items()}
+    return x

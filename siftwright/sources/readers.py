@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from siftwright import schemas
 from siftwright.operators.intake import parse
-from siftwright.plans.materialize import pin
+from siftwright.plans.materialize import pin, small_frame
 
 # Texts that a CSV reader takes for a missing value.
 NA_TOKENS = [
@@ -84,7 +84,7 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def empty_associations(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], schemas.FDR + ", pair_pos int")
+    return small_frame(spark, [], schemas.FDR + ", pair_pos int")
 
 
 def read_associations(spark: SparkSession, path: str, dataset: str) -> DataFrame:
