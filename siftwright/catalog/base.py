@@ -105,7 +105,7 @@ def part_links(spark: SparkSession, folder: str) -> DataFrame:
         F.when(kind == 0, "spearmanr").when(kind == 1, "chi2").when(F.col("p_size") % 2 == 0, "mannwhitneyu").otherwise("kruskal").alias("test"),
         F.when((kind != 1) & (F.col("p_size") % 2 == 0), -step / 1000.0).otherwise(step / 1000.0).alias("effect"),
         F.when(kind == 0, "rho").when(kind == 1, "cramers_v").when(F.col("p_size") % 2 == 0, "rank_biserial").otherwise("eta2_approx").alias("effect_name"),
-        F.when(F.col("p_partkey") % 53 == 0, F.lit(None)).otherwise(F.col("p_partkey") * 71 % 1009 / 20000.0).alias("p_value"),
+        F.when(F.col("p_partkey") % 53 == 0, F.lit(None)).otherwise(F.col("p_partkey") * 71 % 1009 / 20011.0).alias("p_value"),
         (F.col("p_size").cast("bigint") * 10).alias("n"),
         F.when(kind == 2, "nonparametric_preferred").when(F.col("p_size") < 10, "sparse_table_expected_counts_low").otherwise("").alias("notes"),
         F.col("p_partkey").cast("int").alias("pair_pos"),
@@ -119,7 +119,7 @@ PART_LINKS = """part_links AS (SELECT p_type AS dataset,
   CASE WHEN p_partkey % 3 = 0 THEN 'spearmanr' WHEN p_partkey % 3 = 1 THEN 'chi2' WHEN p_size % 2 = 0 THEN 'mannwhitneyu' ELSE 'kruskal' END AS test,
   CASE WHEN p_partkey % 3 <> 1 AND p_size % 2 = 0 THEN -((p_partkey * 37) % 997) / 1000.0::DOUBLE ELSE ((p_partkey * 37) % 997) / 1000.0::DOUBLE END AS effect,
   CASE WHEN p_partkey % 3 = 0 THEN 'rho' WHEN p_partkey % 3 = 1 THEN 'cramers_v' WHEN p_size % 2 = 0 THEN 'rank_biserial' ELSE 'eta2_approx' END AS effect_name,
-  CASE WHEN p_partkey % 53 = 0 THEN NULL ELSE ((p_partkey * 71) % 1009) / 20000.0::DOUBLE END AS p_value,
+  CASE WHEN p_partkey % 53 = 0 THEN NULL ELSE ((p_partkey * 71) % 1009) / 20011.0::DOUBLE END AS p_value,
   CAST(p_size AS BIGINT) * 10 AS n,
   CASE WHEN p_partkey % 3 = 2 THEN 'nonparametric_preferred' WHEN p_size < 10 THEN 'sparse_table_expected_counts_low' ELSE '' END AS notes,
   CAST(p_partkey AS INTEGER) AS pair_pos FROM part)"""

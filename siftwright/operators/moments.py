@@ -37,7 +37,7 @@ def _built_in(df: DataFrame, pairs: Pairs) -> DataFrame:
             ]
         )
     )
-    return one.select(out).withColumn("r", F.when(~F.isnan("r"), _unit(F.col("r"))))
+    return one.select(out).withColumn("r", F.when(F.col("r").isNotNull() & ~F.isnan("r"), _unit(F.col("r"))))
 
 
 def _unit(r: Column) -> Column:
