@@ -24,20 +24,23 @@ def correlations(df: DataFrame, pairs: Pairs) -> DataFrame:
 
 
 def _built_in(df: DataFrame, pairs: Pairs) -> DataFrame:
+    # corr() itself fails on a constant column under ANSI rules, hence its three sums.
     aggs = []
     for pos, a, b in pairs:
-        both = F.col(f"`{a}`").isNotNull() & F.col(f"`{b}`").isNotNull()
-        aggs += [F.count_if(both).alias(f"n{pos}"), F.corr(f"`{a}`", f"`{b}`").alias(f"r{pos}")]
+        y, x = F.col(f"`{a}`"), F.col(f"`{b}`")
+        aggs += [
+            F.regr_count(y, x).alias(f"n{pos}"), F.regr_sxy(y, x).alias(f"c{pos}"),
+            F.regr_sxx(y, x).alias(f"x{pos}"), F.regr_syy(y, x).alias(f"y{pos}"),
+        ]
     one = df.agg(*aggs)
-    out = F.inline(
-        F.array(
-            *[
-                F.struct(F.lit(pos).alias("pos"), F.col(f"n{pos}").alias("n"), F.col(f"r{pos}").alias("r"))
-                for pos, _, _ in pairs
-            ]
-        )
+    fields = [
+        F.struct(F.lit(pos).alias("pos"), *[F.col(f"{k}{pos}").alias(k) for k in ("n", "c", "x", "y")])
+        for pos, _, _ in pairs
+    ]
+    spread = F.sqrt(F.col("x")) * F.sqrt(F.col("y"))
+    return one.select(F.inline(F.array(*fields))).select(
+        "pos", F.col("n").cast("bigint").alias("n"), F.when(spread > 0, _unit(F.col("c") / spread)).alias("r")
     )
-    return one.select(out).withColumn("r", F.when(F.col("r").isNotNull() & ~F.isnan("r"), _unit(F.col("r"))))
 
 
 def _unit(r: Column) -> Column:
