@@ -9,9 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Up to this many pairs run as built-in aggregates; beyond it, generated code gets too long and
-# one matrix product per batch is cheaper.
-BUILT_IN_PAIRS = 48
+# Up to this many pairs run as built-in aggregates. Each takes four of them with null checks, so for
+# more pairs one matrix product per batch is cheaper (28 pairs, 600,000 rows: 1 s against 18 s).
+BUILT_IN_PAIRS = 6
 
 Pairs = list[tuple[int, str, str]]
 

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from siftwright import schemas
 from siftwright.operators import frequency as V
 from siftwright.plans.materialize import small_frame
+from siftwright.plans.together import together
 
 # Fixed text that every profile row carries.
 LEAKAGE_NOTE = (
@@ -97,6 +98,16 @@ def feature_type(cfg: ProfileConfig) -> Column:
     )
 
 
+def text_stats(df: DataFrame, columns: list[tuple[int, str]]) -> dict[int, dict]:
+    """Counts per text column."""
+    if not columns:
+        return {}
+    per_column = V.text_counts(df, columns).groupBy("cid").agg(
+        F.sum("freq").alias("n_non_null"), F.count(F.lit(1)).alias("n_unique")
+    )
+    return {r["cid"]: r.asDict() for r in per_column.collect()}
+
+
 def numeric_stats(df: DataFrame, columns: list[tuple[int, str]]) -> dict[int, dict]:
     """Counts, moments, quartiles, fences and outlier share per numeric column.
 
@@ -104,6 +115,8 @@ def numeric_stats(df: DataFrame, columns: list[tuple[int, str]]) -> dict[int, di
     sums per range, one over the few ranges that hold a quartile, one for moments and outliers.
     What reaches the driver is one row per column and range.
     """
+    if not columns:
+        return {}
     counts = V.ranged(V.numeric_counts(df, columns), ["cid"])
     f, v = F.col("freq"), F.col("value")
     whole = F.col("exact").isNotNull() | (F.pmod(v, F.lit(1.0)) < 1e-9)
@@ -151,15 +164,10 @@ def profile_rows(df: DataFrame, cfg: ProfileConfig, original: dict[str, T.DataTy
     numeric = [(i, f.name) for i, f in enumerate(fields) if V.is_numeric(f.dataType)]
     text = [(i, f.name) for i, f in enumerate(fields) if not V.is_numeric(f.dataType)]
     spark = df.sparkSession
-    n_total = df.count()
-    stats: dict[int, dict] = {}
-    if numeric:
-        stats |= numeric_stats(df, numeric)
-    if text:
-        per_column = V.text_counts(df, text).groupBy("cid").agg(
-            F.sum("freq").alias("n_non_null"), F.count(F.lit(1)).alias("n_unique")
-        )
-        stats |= {r["cid"]: r.asDict() for r in per_column.collect()}
+    n_total, numbers, texts = together(spark, [
+        df.count, lambda: numeric_stats(df, numeric), lambda: text_stats(df, text),
+    ])
+    stats: dict[int, dict] = numbers | texts
 
     numeric_ids = {i for i, _ in numeric}
     raw = []

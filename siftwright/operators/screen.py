@@ -15,6 +15,7 @@ from siftwright.operators.fdr import EffectLimits, correct
 from siftwright.operators.moments import correlations
 from siftwright.operators.ranks import pair_rank_correlation, pair_rank_sums, rank_rows
 from siftwright.plans.materialize import pin, small_frame, with_row_id
+from siftwright.plans.together import together
 
 NUMERIC_TYPES = ("numeric_continuous", "numeric_ordinal")
 CATEGORY_TYPES = ("categorical_low_cardinality", "categorical_high_cardinality", "binary")
@@ -69,15 +70,14 @@ class Plan:
 def survey(df: DataFrame, numeric: list[str], cats: list[str], facts: dict) -> Plan:
     """Row count, NULL counts and exact level counts of the columns to be screened."""
     cols = numeric + cats
-    counted = df.agg(
+    sizes = df.agg(
         F.count(F.lit(1)).alias("n"),
         *[F.count(V.as_double(c) if c in numeric else F.col(f"`{c}`")).alias(f"k{i}") for i, c in enumerate(cols)],
-    ).first()
+    )
+    found = V.text_counts(df, list(enumerate(cats))).groupBy("cid").count() if cats else None
+    counted, rows = together(df.sparkSession, [sizes.first, lambda: found.collect() if cats else []])
     nulls = {c: counted["n"] - counted[f"k{i}"] for i, c in enumerate(cols)}
-    levels = dict.fromkeys(cats, 0)
-    if cats:
-        rows = V.text_counts(df, list(enumerate(cats))).groupBy("cid").count().collect()
-        levels |= {cats[r["cid"]]: r["count"] for r in rows}
+    levels = dict.fromkeys(cats, 0) | {cats[r["cid"]]: r["count"] for r in rows}
     return Plan(numeric, cats, facts, counted["n"], nulls, levels)
 
 
@@ -294,19 +294,17 @@ def screen(
     for a, b in combinations(cats, 2):
         cat_cat.append((pos, a, b)); pos += 1
 
-    out: list[DataFrame] = []
-    shared = None
-    if "num_num" in families or "num_cat" in families:
-        nn = num_num if "num_num" in families else []
-        nc = num_cat if "num_cat" in families else []
-        out += _numeric_families(slim, plan, cfg, nn, nc)
-    if cat_cat and "cat_cat" in families:
-        out += _category_family(slim, plan, cfg, cat_cat)
-    rows = shared
-    for part in out:
-        rows = part if rows is None else rows.unionByName(part)
-    if rows is None:
+    nn = num_num if "num_num" in families else []
+    nc = num_cat if "num_cat" in families else []
+    cc = cat_cat if "cat_cat" in families else []
+    out = sum(together(spark, [
+        lambda: _linear_pairs(slim, plan, cfg, nn),
+        lambda: _ranked_pairs(slim, plan, cfg, nn, nc),
+        lambda: _category_family(slim, plan, cfg, cc),
+    ]), [])
+    if not out:
         return small_frame(spark, [], schemas.ASSOCIATIONS + ", pair_pos int")
+    rows = _union(out)
     return pin(rows.select(F.lit(dataset).alias("dataset"), *schemas.ASSOCIATION_COLUMNS, F.col("pos").alias("pair_pos")))
 
 
@@ -332,18 +330,23 @@ def _capped(slim: DataFrame, plan: Plan, cfg: ScreenConfig, pairs: list, sides:
     return keep, skip
 
 
-def _numeric_families(slim: DataFrame, plan: Plan, cfg: ScreenConfig, num_num: list, num_cat: list) -> list[DataFrame]:
+def _linear_pairs(slim: DataFrame, plan: Plan, cfg: ScreenConfig, num_num: list) -> list[DataFrame]:
+    """Pearson rows."""
+    linear = [p for p in num_num if not wants_ranks(plan.facts[p[1]], plan.facts[p[2]], cfg)]
+    if not linear:
+        return []
+    stats = correlations(slim, linear).filter((F.col("n") >= cfg.min_n) & F.col("r").isNotNull())
+    return [_rows_of(
+        _pairs_frame(slim.sparkSession, linear), stats, type="num_num", relationship="linear", test="pearsonr",
+        effect=F.col("r"), effect_name="r", p_value=correlation_p("r", F.col("n").cast("double")), notes="",
+    )]
+
+
+def _ranked_pairs(slim: DataFrame, plan: Plan, cfg: ScreenConfig, num_num: list, num_cat: list) -> list[DataFrame]:
+    """Spearman rows and all number-by-category rows; both need ranks."""
     spark = slim.sparkSession
     parts: list[DataFrame] = []
     ranked = [p for p in num_num if wants_ranks(plan.facts[p[1]], plan.facts[p[2]], cfg)]
-    linear = [p for p in num_num if p not in set(ranked)]
-    if linear:
-        stats = correlations(slim, linear).filter((F.col("n") >= cfg.min_n) & F.col("r").isNotNull())
-        parts.append(_rows_of(
-            _pairs_frame(spark, linear), stats, type="num_num", relationship="linear", test="pearsonr",
-            effect=F.col("r"), effect_name="r", p_value=correlation_p("r", F.col("n").cast("double")), notes="",
-        ))
-
     grouped, skipped = _capped(slim, plan, cfg, num_cat, ("b",)) if num_cat else ([], [])
     if skipped:
         parts.append(_skipped(spark, [
@@ -441,6 +444,8 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def _category_family(slim: DataFrame, plan: Plan, cfg: ScreenConfig, pairs: list) -> list[DataFrame]:
     spark = slim.sparkSession
+    if not pairs:
+        return []
     keep, skipped = _capped(slim, plan, cfg, pairs, ("a", "b"))
     parts = []
     if skipped:

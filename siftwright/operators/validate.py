@@ -21,6 +21,7 @@ from siftwright.operators.screen import (
     cell_counts, contingency, level_code, pair_sums, rank_anova, two_group_effect, variance_share,
 )
 from siftwright.plans.materialize import pin, small_frame, with_row_id
+from siftwright.plans.together import together
 
 PAIRWISE = ["pearsonr", "spearmanr", "mannwhitneyu", "kruskal", "chi2"]
 REGRESSIONS = ["linear_regression", "logistic_regression"]
@@ -193,47 +194,62 @@ class Bench:
         parts.append(small_frame(spark, [(p, False, None, "", None, "", None, "", "no_complete_cases") for p in done], RESULT
         ))
         live = {t: [s for s in self.of(t) if s.pos not in done] for t in PAIRWISE}
-        if live["pearsonr"]:
-            stats = correlations(self.frame, [(s.pos, self.num(s.outcome), self.num(s.predictors[0])) for s in live["pearsonr"]])
-            parts.append(self._row(live["pearsonr"], stats.filter(F.col("r").isNotNull()), "r",
-                                   F.col("r"), correlation_p("r", F.col("n").cast("double")),
-                                   F.lit("insufficient_variation_for_pearson")))
-        if live["spearmanr"]:
-            stats = pair_rank_correlation(self.melt(live["spearmanr"], "x", "y", False))
-            parts.append(self._row(live["spearmanr"], stats.filter(F.col("r").isNotNull()), "rho",
-                                   F.col("r"), correlation_p("r", F.col("n").cast("double")),
-                                   F.lit("insufficient_variation_for_spearman")))
-        ranked = live["mannwhitneyu"] + live["kruskal"]
-        if ranked:
-            groups, ties = pair_rank_sums(self.melt(ranked, "y", "level", True))
-            groups = pin(groups)
-            if live["mannwhitneyu"]:
-                parts.append(self._two_groups(live["mannwhitneyu"], groups, ties))
-            if live["kruskal"]:
-                parts.append(self._many_groups(live["kruskal"], groups, ties))
-        if live["chi2"]:
-            cells = cell_counts(self.frame, [(s.pos, self.txt(s.outcome), self.txt(s.predictors[0])) for s in live["chi2"]])
-            stats = contingency(pin(cells)).filter((F.col("r") >= 2) & (F.col("c") >= 2))
-            parts.append(self._row(live["chi2"], stats, "cramers_v", F.col("v"),
-                                   chi2_p("chi2", F.col("df").cast("double")),
-                                   F.lit("chi2_requires_at_least_2x2_table")))
-        fitted = self.regressions(Weights("ones"))
-        if fitted is not None:
-            tests = F.create_map(*[x for s in self.of(*REGRESSIONS) for x in (F.lit(s.pos), F.lit(s.test))])
-            ok = F.col("note") == ""
-            parts.append(fitted.select(
-                "pos", ok.alias("testable"), F.when(ok, F.col("n").cast("bigint")).alias("n"),
-                F.when(ok, tests[F.col("pos")]).otherwise("").alias("observed_test"),
-                F.when(ok, F.col("effect")).alias("effect"), F.when(ok, "coef").otherwise("").alias("effect_name"),
-                F.when(ok, F.col("p_value")).alias("p_value"),
-                F.coalesce(F.when(ok, F.col("main_column")), F.lit("")).alias("main_predictor_column"),
-                F.col("note").alias("notes"),
-            ))
+        families = [
+            lambda: self._linear(live["pearsonr"]), lambda: self._monotonic(live["spearmanr"]),
+            lambda: self._ranked(live["mannwhitneyu"], live["kruskal"]), lambda: self._tables(live["chi2"]), self._fitted,
+        ]
+        for got in together(spark, families):
+            parts += got
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
         return out
 
+    def _linear(self, specs: list[Spec]) -> list[DataFrame]:
+        if not specs:
+            return []
+        stats = correlations(self.frame, [(s.pos, self.num(s.outcome), self.num(s.predictors[0])) for s in specs])
+        return [self._row(specs, stats.filter(F.col("r").isNotNull()), "r", F.col("r"),
+                          correlation_p("r", F.col("n").cast("double")), F.lit("insufficient_variation_for_pearson"))]
+
+    def _monotonic(self, specs: list[Spec]) -> list[DataFrame]:
+        if not specs:
+            return []
+        stats = pair_rank_correlation(self.melt(specs, "x", "y", False))
+        return [self._row(specs, stats.filter(F.col("r").isNotNull()), "rho", F.col("r"),
+                          correlation_p("r", F.col("n").cast("double")), F.lit("insufficient_variation_for_spearman"))]
+
+    def _ranked(self, two: list[Spec], many: list[Spec]) -> list[DataFrame]:
+        if not two + many:
+            return []
+        groups, ties = pair_rank_sums(self.melt(two + many, "y", "level", True))
+        groups = pin(groups)
+        parts = [self._two_groups(two, groups, ties)] if two else []
+        return parts + ([self._many_groups(many, groups, ties)] if many else [])
+
+    def _tables(self, specs: list[Spec]) -> list[DataFrame]:
+        if not specs:
+            return []
+        cells = cell_counts(self.frame, [(s.pos, self.txt(s.outcome), self.txt(s.predictors[0])) for s in specs])
+        stats = contingency(pin(cells)).filter((F.col("r") >= 2) & (F.col("c") >= 2))
+        return [self._row(specs, stats, "cramers_v", F.col("v"), chi2_p("chi2", F.col("df").cast("double")),
+                          F.lit("chi2_requires_at_least_2x2_table"))]
+
+    def _fitted(self) -> list[DataFrame]:
+        fitted = self.regressions(Weights("ones"))
+        if fitted is None:
+            return []
+        tests = F.create_map(*[x for s in self.of(*REGRESSIONS) for x in (F.lit(s.pos), F.lit(s.test))])
+        ok = F.col("note") == ""
+        return [fitted.select(
+            "pos", ok.alias("testable"), F.when(ok, F.col("n").cast("bigint")).alias("n"),
+            F.when(ok, tests[F.col("pos")]).otherwise("").alias("observed_test"),
+            F.when(ok, F.col("effect")).alias("effect"), F.when(ok, "coef").otherwise("").alias("effect_name"),
+            F.when(ok, F.col("p_value")).alias("p_value"),
+            F.coalesce(F.when(ok, F.col("main_column")), F.lit("")).alias("main_predictor_column"),
+            F.col("note").alias("notes"),
+        )]
+
     def _row(self, specs: list[Spec], stats: DataFrame, name: str, effect: Column, p: Column, fail: Column) -> DataFrame:
         """Result rows; a hypothesis without a row in `stats` was not testable."""
         spark = self.frame.sparkSession
@@ -371,30 +387,33 @@ class Bench:
     def replicates(self, weights: Weights, only: set[int]) -> DataFrame:
         """(pos, rep, effect, main_column) of every testable replicate."""
         frame = self.frame.withColumn("h", weights.base(F.col("rid"))).drop("rid")
-        parts = []
 
         def specs(test: str, a, b) -> list[tuple[int, str, str]]:
             return [(s.pos, a(s.outcome), b(s.predictors[0])) for s in self.of(test) if s.pos in only]
 
-        if got := specs("pearsonr", self.num, self.num):
-            parts.append(B.linear_effects(frame, got, weights))
-        if got := specs("spearmanr", self.num, self.num):
-            parts.append(B.monotonic_effects(frame, got, weights))
-        if got := specs("mannwhitneyu", self.num, self.txt):
-            structs = [F.min(F.when(F.col(y).isNotNull(), F.col(x))).alias(f"g{p}") for p, y, x in got]
-            row = self.frame.agg(*structs).first()
-            parts.append(B.two_group_effects(frame, got, weights, {p: row[f"g{p}"] for p, _, _ in got}))
-        if got := specs("kruskal", self.num, self.txt):
-            parts.append(B.group_effects(frame, got, weights))
-        if got := specs("chi2", self.txt, self.txt):
-            parts.append(B.table_effects(frame, got, weights))
-        fitted = self.regressions(weights, only)
+        def two_groups(got):
+            lowest = [F.min(F.when(F.col(y).isNotNull(), F.col(x))).alias(f"g{p}") for p, y, x in got]
+            row = self.frame.agg(*lowest).first()
+            return B.two_group_effects(frame, got, weights, {p: row[f"g{p}"] for p, _, _ in got})
+
+        def fitted():
+            out = self.regressions(weights, only)
+            return None if out is None else out.filter(F.col("note") == "")
+
+        families = [
+            (specs("pearsonr", self.num, self.num), lambda s: B.linear_effects(frame, s, weights)),
+            (specs("spearmanr", self.num, self.num), lambda s: B.monotonic_effects(frame, s, weights)),
+            (specs("mannwhitneyu", self.num, self.txt), two_groups),
+            (specs("kruskal", self.num, self.txt), lambda s: B.group_effects(frame, s, weights)),
+            (specs("chi2", self.txt, self.txt), lambda s: B.table_effects(frame, s, weights)),
+        ]
         spark = frame.sparkSession
+        tasks = [(lambda fn=fn, got=got: fn(got)) for got, fn in families if got]
         out = small_frame(spark, [], "pos int, rep int, effect double, main_column string")
-        for p in parts:
-            out = out.unionByName(p.select("pos", "rep", "effect", F.lit("").alias("main_column")))
-        if fitted is not None:
-            out = out.unionByName(fitted.filter(F.col("note") == "").select("pos", "rep", "effect", "main_column"))
+        for p in together(spark, [*tasks, fitted]):
+            if p is not None:
+                main = F.col("main_column") if "main_column" in p.columns else F.lit("")
+                out = out.unionByName(p.select("pos", "rep", "effect", main.alias("main_column")))
         return out
 
 

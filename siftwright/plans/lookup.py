@@ -25,12 +25,14 @@ def attach(
     `basis` is a pinned frame with the same keys and weights, read for the totals.
     """
     size = (basis if basis is not None else table).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(weight).alias("total")
+        F.count(F.lit(1)).alias("n"), F.sum(weight).alias("total"), F.max(weight).alias("top")
     ).first()
     slim = table
     if size["n"] <= budget:
         return rows.join(F.broadcast(slim.drop(weight)), keys)
     cut = size["total"] / budget
+    if size["top"] < cut:
+        return rows.join(slim.drop(weight), keys)
     frequent = F.broadcast(slim.filter(F.col(weight) >= cut).drop(weight))
     common = rows.join(frequent, keys)
     rest = rows.join(F.broadcast(slim.filter(F.col(weight) >= cut).select(*keys)), keys, "left_anti")

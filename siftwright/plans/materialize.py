@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
 
 import pyarrow as pa
@@ -14,8 +15,16 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
+_lock = threading.Lock()
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the folder the session names; only a local session may fall back to a temp folder."""
+    with _lock:
+        return _checkpoint_dir(spark)
+
+
+def _checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -42,13 +51,12 @@ def pin(df: DataFrame) -> DataFrame:
 
 
 def with_row_id(df: DataFrame, key: str | None = None, name: str = "rid") -> DataFrame:
-    """Add a row id: the given unique key, or a generated one that is pinned at once.
+    """Pin `df` with a row id: the given unique key, or a generated one.
 
     A generated id depends on row order inside a partition, so it must never be computed twice.
+    Pair tests read the rows many times; written once, narrow, they are not joined or cleaned again.
     """
-    if key is not None:
-        return df.withColumn(name, F.col(key))
-    return pin(df.withColumn(name, F.monotonically_increasing_id()))
+    return pin(df.withColumn(name, F.col(key) if key is not None else F.monotonically_increasing_id()))
 
 
 def small_frame(spark: SparkSession, rows: list, ddl: str) -> DataFrame:

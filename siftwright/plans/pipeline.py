@@ -14,6 +14,7 @@ from siftwright.operators.screen import ScreenConfig, screen_and_correct
 from siftwright.operators.split import split_summary, train_test_split
 from siftwright.operators.validate import ValidationConfig, validate
 from siftwright.plans.materialize import pin
+from siftwright.plans.together import together
 
 
 @dataclass(frozen=True)
@@ -61,28 +62,12 @@ def discover(sources: dict[str, Source], responses: DataFrame | None = None, con
     """
     cfg = config or RunConfig()
     run = Run()
-    summaries, profiles, states, logs, fulls, keeps = [], [], [], [], [], []
-    for name, src in sources.items():
-        split = pin(train_test_split(src.df, src.key, cfg.test_size, cfg.seed, src.stratify))
-        summaries.append(split_summary(split, cfg.test_size, cfg.seed, src.stratify).withColumn("dataset", F.lit(name)))
-        train = split.filter(F.col("split") == "train").drop("split")
-        test = split.filter(F.col("split") == "test").drop("split")
-        model = cfg.prep.fit(train, name)
-        clean = model.transform(train)
-        run.models[name] = model
-        run.test_sets[name] = model.transform(test, keep=(src.key,)).withColumnRenamed(src.key, "row_key") if (
-            src.key not in model.output_columns()
-        ) else model.transform(test.withColumn("row_key", F.col(src.key)), keep=("row_key",))
-        profiles.append(model.profile)
-        states.append(model.state(src.df.sparkSession))
-        logs.append(model.transform_log(clean))
-        full, kept = screen_and_correct(clean, model.profile, name, cfg.screen)
-        fulls.append(full)
-        keeps.append(kept)
-    run.tables |= {
-        "split_summary": _stack(summaries), "profile": _stack(profiles), "state": _stack(states),
-        "transform_log": _stack(logs), "associations": _stack(fulls), "filtered": _stack(keeps),
-    }
+    spark = next(iter(sources.values())).df.sparkSession
+    names = list(sources)
+    done = together(spark, [lambda n=n: _one(n, sources[n], cfg) for n in names])
+    for name, (model, test_set, _) in zip(names, done):
+        run.models[name], run.test_sets[name] = model, test_set
+    run.tables |= {t: _stack([tables[t] for _, _, tables in done]) for t in done[0][2]}
     packs = pin(evidence.evidence_packs(run["filtered"], run["profile"], cfg.pack))
     asked = evidence.prompts(packs, cfg.requested_hypotheses)
     run.tables |= {
@@ -95,6 +80,22 @@ def discover(sources: dict[str, Source], responses: DataFrame | None = None, con
     return finish(run, responses, cfg)
 
 
+def _one(name: str, src: Source, cfg: RunConfig) -> tuple[PrepModel, DataFrame, dict[str, DataFrame]]:
+    """Split, clean and screen one dataset: (model, cleaned test rows with `row_key`, tables)."""
+    split = pin(train_test_split(src.df, src.key, cfg.test_size, cfg.seed, src.stratify))
+    train = split.filter(F.col("split") == "train").drop("split")
+    test = split.filter(F.col("split") == "test").drop("split")
+    model = cfg.prep.fit(train, name)
+    clean = model.transform(train)
+    full, kept = screen_and_correct(clean, model.profile, name, cfg.screen)
+    summary = split_summary(split, cfg.test_size, cfg.seed, src.stratify).withColumn("dataset", F.lit(name))
+    test_set = model.transform(test.withColumn("row_key", F.col(f"`{src.key}`")), keep=("row_key",))
+    return model, test_set, {
+        "split_summary": summary, "profile": model.profile, "state": model.state(src.df.sparkSession),
+        "transform_log": model.transform_log(clean), "associations": full, "filtered": kept,
+    }
+
+
 def finish(run: Run, responses: DataFrame, config: RunConfig | None = None) -> Run:
     """Take in responses and validate; stops when no dataset has a usable response."""
     cfg = config or RunConfig()
@@ -102,13 +103,13 @@ def finish(run: Run, responses: DataFrame, config: RunConfig | None = None) -> R
     hypotheses = pin(hypotheses)
     run.tables |= {"hypotheses": hypotheses, "response_errors": errors}
     present = {r["dataset"] for r in hypotheses.select("dataset").distinct().collect()}
-    done = [
-        validate(run.test_sets[name], hypotheses, name, cfg.validation, key="row_key")
-        for name in run.test_sets if name in present
-    ]
-    if not done:
+    known = [name for name in run.test_sets if name in present]
+    if not known:
         run.stopped_after = "hypotheses"
         return run
+    done = together(responses.sparkSession, [
+        lambda n=n: validate(run.test_sets[n], hypotheses, n, cfg.validation, key="row_key") for n in known
+    ])
     results = _stack([v.results for v in done])
     run.tables |= {
         "results": results, "rejections": _stack([v.rejected for v in done]),
