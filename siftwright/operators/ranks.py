@@ -7,37 +7,62 @@ from pyspark.sql import functions as F
 
 from siftwright.operators import frequency as V
 from siftwright.plans.lookup import attach
-from siftwright.plans.materialize import pin
+from siftwright.plans.materialize import pin, small_frame
 
 # Column ids from here on mark category codes in a rank table.
 CODE_BASE = 1_000_000
 
 
+# Columns with at most this many distinct values get their ranks from a table sent to all tasks;
+# with at most SMALL_COLUMNS of them that is a bounded number of rows.
+SMALL_DOMAIN = 1_024
+SMALL_COLUMNS = 64
+
+
 def rank_rows(
     df: DataFrame, numeric: dict[int, str], codes: dict[int, Column], rid: str = "rid"
 ) -> tuple[DataFrame, DataFrame]:
     """Replace values by average ranks, for columns without NULLs.
 
     Returns (rank table, ties). The rank table has one row per `rid` with `r<cid>` per numeric
-    column and `g<cid>` per category code; `ties` holds the tie sum per column. Two narrow
-    shuffles for any number of columns: one to look ranks up, one to put rows together again.
+    column and `g<cid>` per category code; `ties` holds the tie sum per column. Columns with few
+    distinct values are ranked where their rows are. The others take two narrow shuffles for any
+    number of columns: one to look ranks up, one to put rows together again.
     """
     exprs = {cid: V.as_double(c) for cid, c in numeric.items()}
     counts = V.melt(df, exprs).groupBy("cid", "value").agg(F.count(F.lit(1)).alias("freq"))
     parts = V.ranged(counts, ["cid"])
     table = V.mid_ranks(V.running(parts, ["cid"])).select("cid", "value", "freq", "rank")
-    long = attach(V.melt(df, exprs, keep=[rid]), table, ["cid", "value"], "freq", basis=parts)
-    long = long.select(rid, "cid", "rank")
-    if codes:
-        marks = V.melt(df, {CODE_BASE + k: c.cast("double") for k, c in codes.items()}, "rank", keep=[rid])
-        long = long.unionByName(marks)
-    wide = long.groupBy(rid).agg(
+    f = F.col("freq").cast("double")
+    facts = parts.groupBy("cid").agg(F.count(F.lit(1)).alias("u"), F.sum(f * f * f - f).alias("ties")).collect()
+    ties = small_frame(df.sparkSession, [(r["cid"], r["ties"]) for r in facts], "cid int, ties double")
+
+    few = sorted((r["u"], r["cid"]) for r in facts if r["u"] <= SMALL_DOMAIN)[:SMALL_COLUMNS]
+    small = [cid for _, cid in few]
+    wide = df
+    if small:
+        found = table.filter(F.col("cid").isin(small)).collect()
+        for cid in small:
+            ranks = [(r["value"], r["rank"]) for r in found if r["cid"] == cid]
+            lut = small_frame(df.sparkSession, ranks, f"v{cid} double, r{cid} double")
+            wide = wide.join(F.broadcast(lut), exprs[cid] == F.col(f"v{cid}")).drop(f"v{cid}")
+    large = {cid: e for cid, e in exprs.items() if cid not in small}
+    if not large:
+        return pin(wide.select(
+            rid, *[f"r{cid}" for cid in numeric], *[c.cast("int").alias(f"g{k}") for k, c in codes.items()]
+        )), ties
+
+    table = table.filter(F.col("cid").isin(list(large)))
+    basis = parts.filter(F.col("cid").isin(list(large)))
+    long = attach(V.melt(df, large, keep=[rid]), table, ["cid", "value"], "freq", basis=basis).select(rid, "cid", "rank")
+    done = {cid: F.col(f"r{cid}") for cid in small} | {CODE_BASE + k: c.cast("double") for k, c in codes.items()}
+    if done:
+        long = long.unionByName(V.melt(wide, done, "rank", keep=[rid]))
+    rows = long.groupBy(rid).agg(
         *[F.max(F.when(F.col("cid") == cid, F.col("rank"))).alias(f"r{cid}") for cid in numeric],
         *[F.max(F.when(F.col("cid") == CODE_BASE + k, F.col("rank"))).cast("int").alias(f"g{k}") for k in codes],
     )
-    f = F.col("freq").cast("double")
-    ties = parts.groupBy("cid").agg(F.sum(f * f * f - f).alias("ties"))
-    return pin(wide), ties
+    return pin(rows), ties
 
 
 def pair_rank_correlation(rows: DataFrame) -> DataFrame:

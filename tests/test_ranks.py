@@ -47,10 +47,14 @@ def test_frequencies_add_up(spark, skewed):
     assert V.numeric_counts(df, [(0, "a"), (1, "c")]).groupBy("cid").agg(F.sum("freq").alias("n")).toPandas()["n"].tolist() == [3000, 3000]
 
 
-def test_mid_ranks_over_many_ranges(spark, skewed):
+@pytest.mark.parametrize("domain", [0, 1_024, 10_000])
+def test_mid_ranks_over_many_ranges(spark, skewed, monkeypatch, domain):
+    monkeypatch.setattr("siftwright.operators.ranks.SMALL_DOMAIN", domain)
     df = spark.createDataFrame(skewed)
-    table, ties = rank_rows(df.withColumnRenamed("k", "rid"), {0: "a", 1: "b"}, {})
+    code = F.when(F.col("g") == "x", 0).when(F.col("g") == "y", 1).otherwise(2)
+    table, ties = rank_rows(df.withColumnRenamed("k", "rid"), {0: "a", 1: "b"}, {0: code})
     got = table.toPandas().sort_values("rid")
+    assert got["g0"].tolist() == skewed["g"].map({"x": 0, "y": 1, "z": 2}).tolist()
     assert np.allclose(got["r0"], skewed["a"].rank()) and np.allclose(got["r1"], skewed["b"].rank())
     t = skewed["a"].value_counts()
     assert {r["cid"]: r["ties"] for r in ties.collect()}[0] == (t**3 - t).sum()
