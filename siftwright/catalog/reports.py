@@ -57,7 +57,7 @@ def _(spark, sf):
 
 
 def histogram_sql(value: str, by: str, bins: int = 50) -> str:
-    return f"""e AS (SELECT min({value}) AS a, max({value}) AS b FROM part_links), b AS (SELECT {by}, least(1 + floor(({value} - a) / (b - a) * {bins}), {bins})::INTEGER AS bin, a, (b - a) / {bins} AS step FROM part_links, e WHERE {value} IS NOT NULL)
+    return f"""e AS (SELECT min({value}) AS a, max({value}) AS b FROM part_links), b AS (SELECT {by}, least(1 + floor({bins} * ({value} - a) / (b - a)), {bins})::INTEGER AS bin, a, (b - a) / {bins} AS step FROM part_links, e WHERE {value} IS NOT NULL)
 SELECT {by}, bin, round(any_value(a) + (bin - 1) * any_value(step), 9) AS low, round(any_value(a) + (bin - 1) * any_value(step) + any_value(step), 9) AS high, count(*) AS n FROM b GROUP BY {by}, bin"""
 
 
