@@ -294,7 +294,7 @@ settled AS (SELECT *, st = 'validated' AS validated, CASE WHEN st <> 'validated'
 
 
 def settled_links(spark, sf) -> DataFrame:
-    judged = C.judge(tested_links(spark, sf))
+    judged = C.judge(tested_links(spark, sf), large=True)
     boot = judged.filter("validated").select(
         "pos", (F.col("pos") % 13 != 0).alias("bootstrap_testable"), ((F.col("pos") % 13 != 0) & (F.col("pos") % 5 != 0)).alias("bootstrap_stable"),
         F.when(F.col("pos") % 13 == 0, "no_successful_bootstrap_runs").otherwise("").alias("bootstrap_notes"),

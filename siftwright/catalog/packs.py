@@ -15,7 +15,7 @@ from siftwright.operators.screen import screen_and_correct
 
 
 def _kept(spark, sf) -> DataFrame:
-    return correct(part_links(spark, sf))[1]
+    return correct(part_links(spark, sf), large=True)[1]
 
 
 BUCKET = """CASE type WHEN 'num_num' THEN CASE WHEN abs(effect) >= 0.5 THEN 'large' WHEN abs(effect) >= 0.3 THEN 'medium' WHEN abs(effect) >= 0.1 THEN 'small' ELSE 'tiny' END
@@ -112,7 +112,7 @@ SELECT dataset, count(*)::INTEGER AS n_edges, (SELECT count(DISTINCT v) FROM (SE
   string_agg(DISTINCT test, ',' ORDER BY test) AS tests, string_agg(var1 || '~' || var2, ',' ORDER BY edge_no) AS pairs FROM edges GROUP BY dataset""")
 def _(spark, sf):
     links = part_links(spark, sf)
-    packs = E.evidence_packs(correct(links)[1], _profile_like(links))
+    packs = E.evidence_packs(correct(links, large=True)[1], _profile_like(links))
     doc = F.try_parse_json("pack_json")
     names = F.transform(F.variant_get(doc, "$.edges", "array<struct<var1:string,var2:string>>"), lambda e: F.concat(e["var1"], F.lit("~"), e["var2"]))
     return packs.select(
@@ -125,14 +125,14 @@ def _(spark, sf):
 def _(spark, sf):
     """Packs cut to a small size budget: a prefix of the edges and only their variables."""
     links = part_links(spark, sf)
-    packs = E.evidence_packs(correct(links)[1], _profile_like(links), E.PackConfig(max_json_chars=6000))
+    packs = E.evidence_packs(correct(links, large=True)[1], _profile_like(links), E.PackConfig(max_json_chars=6000))
     return packs.select("dataset", "n_edges", "n_variables", F.length("pack_json").alias("chars"))
 
 
 @query("pack_empty", f"""WITH {PART_LINKS} SELECT dataset, 0::INTEGER AS n_edges, 'No associations remained after final evidence-pack pruning.' AS message FROM part_links GROUP BY 1""")
 def _(spark, sf):
     links = part_links(spark, sf)
-    none = correct(links)[1].filter(F.abs("effect") > 2)
+    none = correct(links, large=True)[1].filter(F.abs("effect") > 2)
     packs = E.evidence_packs(none, _profile_like(links))
     return packs.select("dataset", "n_edges", F.variant_get(F.try_parse_json("pack_json"), "$.summary.message", "string").alias("message"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from siftwright.catalog.base import (
     LINEITEM_GAPS, PART_LINKS, SALES, digits, fdr_sql, lineitem_gaps, part_links, query, sales, table,
 )
-from siftwright.operators.fdr import EffectLimits, adjust, adjust_large, correct, keep_effects, mark_significant, numeric_fields
+from siftwright.operators.fdr import EffectLimits, adjust_large, correct, keep_effects, mark_significant, numeric_fields
 from siftwright.operators.moments import correlations
 from siftwright.operators.prep import Prep
 from siftwright.operators.profile import profile
@@ -222,7 +222,7 @@ def _(spark, sf):
 
 @query("bh_qvalues", f"WITH {PART_LINKS}, {fdr_sql('part_links')} SELECT dataset, pair_pos, round(p_value, 9) AS p_value, round(adjusted_p, 9) AS adjusted_p, coalesce(adjusted_p < 0.05, false) AS significant FROM adjusted")
 def _(spark, sf):
-    return digits(mark_significant(adjust(numeric_fields(part_links(spark, sf)))).select("dataset", "pair_pos", "p_value", "adjusted_p", "significant"))
+    return digits(mark_significant(adjust_large(numeric_fields(part_links(spark, sf)))).select("dataset", "pair_pos", "p_value", "adjusted_p", "significant"))
 
 
 KEPT = f"""{PART_LINKS}, {fdr_sql('part_links')},
@@ -232,7 +232,7 @@ kept AS (SELECT * FROM adjusted WHERE adjusted_p < 0.05 AND n >= 30 AND CASE WHE
 
 @query("effect_filter", f"WITH {KEPT} SELECT dataset, pair_pos, type, effect_name, round(effect, 9) AS effect, n FROM kept")
 def _(spark, sf):
-    _, kept = correct(part_links(spark, sf))
+    _, kept = correct(part_links(spark, sf), large=True)
     return digits(kept.select("dataset", "pair_pos", "type", "effect_name", "effect", "n"))
 
 
@@ -240,7 +240,7 @@ def _(spark, sf):
   WHEN type = 'cat_cat' THEN effect >= 0.4 WHEN effect_name = 'rank_biserial' THEN abs(effect) >= 0.3 ELSE effect >= 0.2 END""")
 def _(spark, sf):
     lim = EffectLimits(alpha=0.04, min_n=100, min_abs_r=0.5, min_cramers_v=0.4, min_eta2=0.2, min_rank_biserial=0.3)
-    full = mark_significant(adjust(numeric_fields(part_links(spark, sf))), lim.alpha)
+    full = mark_significant(adjust_large(numeric_fields(part_links(spark, sf))), lim.alpha)
     return keep_effects(full, lim).select("dataset", "pair_pos")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from siftwright.catalog.base import LINEITEM_GAPS, PART_LINKS, digits, lineitem_gaps, part_links, query, sales, table
 from siftwright.catalog.base import fdr_sql
-from siftwright.catalog.checks import PROPOSED, TESTED, order_hypotheses, settled_links
+from siftwright.catalog.checks import PROPOSED, TESTED, order_hypotheses, proposed, settled_links
 from siftwright.catalog.packs import CANDIDATES, greedy_sql
 from siftwright.catalog.pairs import KEPT
 from siftwright.catalog.tables import COUNT_FIELDS, LINEITEM, PROFILED, SPLIT, counts_sql
@@ -15,6 +15,7 @@ from siftwright.operators import report as R
 from siftwright.operators.fdr import correct
 from siftwright.operators.profile import profile
 from siftwright.operators.split import train_test_split
+from siftwright.operators.validate import ValidationConfig, validate
 from siftwright.plans.materialize import small_frame
 from siftwright.plans.pipeline import Source, discover
 
@@ -53,7 +54,7 @@ def _(spark, sf):
 
 @query("report_families", f"WITH {KEPT} SELECT dataset, type, count(*) AS n FROM adjusted GROUP BY ALL UNION ALL SELECT dataset, 'filtered', count(*) FROM kept GROUP BY 1")
 def _(spark, sf):
-    return R.family_counts(*correct(part_links(spark, sf)))
+    return R.family_counts(*correct(part_links(spark, sf), large=True))
 
 
 def histogram_sql(value: str, by: str, bins: int = 50) -> str:
@@ -73,12 +74,12 @@ def _(spark, sf):
 
 @query("report_filtered", f"WITH {KEPT} SELECT dataset, var1, var2, type, test, round(effect, 4) AS effect, effect_name, round(adjusted_p, 4) AS adjusted_p, n FROM kept")
 def _(spark, sf):
-    return R.filtered_view(correct(part_links(spark, sf))[1])
+    return R.filtered_view(correct(part_links(spark, sf), large=True)[1])
 
 
 @query("report_edges", f"""WITH RECURSIVE {CANDIDATES}, {greedy_sql('candidates')} SELECT dataset, 'E' || edge_no AS edge, var1, var2, type, round(effect, 4) AS effect FROM edges""")
 def _(spark, sf):
-    return R.edge_view(E.edge_records(E.choose_edges(correct(part_links(spark, sf))[1]))).drop("size", "direction")
+    return R.edge_view(E.edge_records(E.choose_edges(correct(part_links(spark, sf), large=True)[1]))).drop("size", "direction")
 
 
 @query("report_hypotheses", """SELECT 'H' || o_orderkey AS id, CASE WHEN o_orderkey % 12 = 3 OR o_orderkey % 12 = 4 THEN '' ELSE
@@ -126,8 +127,9 @@ def _(spark, sf):
 
 @query("report_summary_accepted")
 def _(spark, sf):
-    rows = R.plain_summary(settled_links(spark, sf))
-    return rows.select("dataset", F.length("summary").alias("chars"))
+    """Summary of a validated batch with its accepted hypotheses."""
+    cfg = ValidationConfig(bootstrap_iterations=20)
+    return R.plain_summary(validate(sales(spark, sf), proposed(spark), "sales", cfg, key="o_orderkey").results)
 
 
 @query("report_stages", f"""WITH {PART_LINKS}, {fdr_sql('part_links')}, d AS (SELECT DISTINCT dataset FROM part_links), s AS (SELECT unnest(['data', 'preprocess', 'associations', 'prompt', 'hypotheses', 'validation', 'summary']) AS stage)

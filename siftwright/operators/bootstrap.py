@@ -19,7 +19,8 @@ from siftwright.functions.weights import Weights
 from siftwright.operators.screen import contingency, variance_share
 from siftwright.plans.materialize import pin
 
-# Rows per range in rank resampling: rows x replicates must fit a task comfortably.
+# Rows handled at once in rank resampling: rows x replicates must fit a task comfortably. Longer
+# ranges are cut into pieces of this size; values that reach over a cut are stitched afterwards.
 RANGE_ROWS = 50_000
 
 
@@ -142,19 +143,25 @@ def group_effects(frame: DataFrame, specs: list[tuple[int, str, str]], weights:
 # ---- rank effects -------------------------------------------------------------------------------
 
 
-def _range_count(rows: DataFrame) -> int:
-    n = rows.count()
-    return max(1, -(-n // RANGE_ROWS))
-
-
 def _blocks(v: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
 
 
-def _whole(batches: Iterator[pd.DataFrame]) -> pd.DataFrame | None:
-    """All rows of one range; ranges hold about RANGE_ROWS rows by construction."""
-    parts = [b for b in batches if len(b)]
-    return pd.concat(parts, ignore_index=True) if parts else None
+def _pieces(batches: Iterator[pd.DataFrame], size: int) -> Iterator[tuple[int, pd.DataFrame]]:
+    """Sorted rows of one range in pieces of `size`; piece numbers rise with the order of rows."""
+    number = TaskContext.get().partitionId() << 32
+    held, rows = [], 0
+    for b in batches:
+        while len(b):
+            take = min(size - rows, len(b))
+            held.append(b.iloc[:take])
+            rows += take
+            b = b.iloc[take:]
+            if rows == size:
+                yield number, pd.concat(held, ignore_index=True)
+                number, held, rows = number + 1, [], 0
+    if held:
+        yield number, pd.concat(held, ignore_index=True)
 
 
 def _neighbours(segments: DataFrame, amount: str) -> tuple[Column, Column]:
@@ -191,15 +198,12 @@ def two_group_effects(frame: DataFrame, specs: list[tuple[int, str, str]], weigh
     rows = _melt_pairs(frame, specs, "v", "level").select(
         "pos", "v", "h", (F.col("level") == first[F.col("pos")]).cast("int").alias("g")
     )
-    spread = rows.repartitionByRange(_range_count(rows), "pos", "v", "h").sortWithinPartitions("pos", "v", "h")
+    spread = rows.repartitionByRange("pos", "v", "h").sortWithinPartitions("pos", "v", "h")
+    size = RANGE_ROWS
     names = ["u", "t1", "t2", "f_a1", "f_a2", "l_a1", "l_a2"]
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pdf = _whole(batches)
-        if pdf is None:
-            return
-        pid = TaskContext.get().partitionId()
-        for pos, g in pdf.groupby("pos", sort=True):
+        for pid, pos, g in ((i, pos, g) for i, p in _pieces(batches, size) for pos, g in p.groupby("pos", sort=True)):
             v = g["v"].to_numpy()
             w = weights.matrix(g["h"].to_numpy()).astype(float)
             one = g["g"].to_numpy()[:, None]
@@ -214,7 +218,7 @@ def two_group_effects(frame: DataFrame, specs: list[tuple[int, str, str]], weigh
             })
 
     parts = _with_offsets(pin(spread.mapInPandas(
-        partial, "pos int, pid int, rep int, v_first double, v_last double, " + ", ".join(f"{c} double" for c in names)
+        partial, "pos int, pid bigint, rep int, v_first double, v_last double, " + ", ".join(f"{c} double" for c in names)
     )), "t2")
     seg = _segments(parts, ["a1", "a2"])
     before, after = _neighbours(seg, "a2")
@@ -236,10 +240,12 @@ def monotonic_effects(frame: DataFrame, specs: list[tuple[int, str, str]], weigh
     packed vector to the range of its y, where the products are added up.
     """
     rows = _melt_pairs(frame, specs, "x", "y")
-    ranges = _range_count(rows)
+    # The generated id counts rows inside a sorted range, so its multiples cut ranges into pieces.
     spread = pin(
-        rows.repartitionByRange(ranges, "pos", "x", "h").withColumn("pid", F.spark_partition_id())
+        rows.repartitionByRange("pos", "x", "h").sortWithinPartitions("pos", "x", "h")
+        .withColumn("pid", F.floor(F.monotonically_increasing_id() / RANGE_ROWS))
     )
+    size = RANGE_ROWS
 
     def x_totals(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("x", kind="stable")
@@ -253,7 +259,7 @@ def monotonic_effects(frame: DataFrame, specs: list[tuple[int, str, str]], weigh
         })
 
     totals = _with_offsets(pin(spread.groupBy("pos", "pid").applyInPandas(
-        x_totals, "pos int, pid int, rep int, v_first double, v_last double, t double, f_w double, l_w double"
+        x_totals, "pos int, pid bigint, rep int, v_first double, v_last double, t double, f_w double, l_w double"
     )), "t")
     seg = _segments(totals, ["w"])
     before, after = _neighbours(seg, "w")
@@ -290,11 +296,7 @@ def monotonic_effects(frame: DataFrame, specs: list[tuple[int, str, str]], weigh
     names = ["t", "sx", "sxx", "sy", "syy", "sxy", "f_w", "f_x", "f_y", "l_w", "l_x", "l_y"]
 
     def y_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pdf = _whole(batches)
-        if pdf is None:
-            return
-        pid = TaskContext.get().partitionId()
-        for pos, g in pdf.groupby("pos", sort=True):
+        for pid, pos, g in ((i, pos, g) for i, p in _pieces(batches, size) for pos, g in p.groupby("pos", sort=True)):
             v = g["y"].to_numpy()
             w = weights.matrix(g["h"].to_numpy()).astype(float)
             reps = w.shape[1]
@@ -315,9 +317,9 @@ def monotonic_effects(frame: DataFrame, specs: list[tuple[int, str, str]], weigh
                 "pos": pos, "pid": pid, "rep": np.arange(reps), "v_first": v[0], "v_last": v[-1], **dict(zip(names, sums)),
             })
 
-    by_y = ranked.repartitionByRange(ranges, "pos", "y", "h").sortWithinPartitions("pos", "y", "h")
+    by_y = ranked.repartitionByRange("pos", "y", "h").sortWithinPartitions("pos", "y", "h")
     parts = _with_offsets(pin(by_y.mapInPandas(
-        y_sums, "pos int, pid int, rep int, v_first double, v_last double, " + ", ".join(f"{c} double" for c in names)
+        y_sums, "pos int, pid bigint, rep int, v_first double, v_last double, " + ", ".join(f"{c} double" for c in names)
     )), "t")
     seg = _segments(parts, ["w", "x", "y"])
     before, after = _neighbours(seg, "w")

@@ -57,13 +57,15 @@ def adjust(
     )
 
 
-def adjust_large(df: DataFrame, by: str = "dataset", p: str = "p_value") -> DataFrame:
+def adjust_large(
+    df: DataFrame, by: str = "dataset", p: str = "p_value", valid: Column | None = None
+) -> DataFrame:
     """`adjust` for tables where one `by` value may hold most of the rows.
 
     Works on distinct p values: ranks come from a range-partitioned running count, and the minimum
     over larger p is the minimum inside the range and over the minima of later ranges.
     """
-    ok = usable_p(F.col(p))
+    ok = F.coalesce(usable_p(F.col(p)) if valid is None else valid & usable_p(F.col(p)), F.lit(False))
     counts = (
         df.filter(ok).groupBy(by, F.col(p).alias("value")).agg(F.count(F.lit(1)).alias("freq"))
     )
@@ -125,8 +127,11 @@ def keep_effects(df: DataFrame, limits: EffectLimits | None = None) -> DataFrame
     )
 
 
-def correct(df: DataFrame, limits: EffectLimits | None = None) -> tuple[DataFrame, DataFrame]:
-    """(all associations with q and significance, the ones to keep)."""
+def correct(df: DataFrame, limits: EffectLimits | None = None, large: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(all associations with q and significance, the ones to keep).
+
+    `large` is for tables that grow with data rather than with the number of column pairs.
+    """
     lim = limits or EffectLimits()
-    full = mark_significant(adjust(numeric_fields(df)), lim.alpha)
+    full = mark_significant((adjust_large if large else adjust)(numeric_fields(df)), lim.alpha)
     return full, keep_effects(full, lim)

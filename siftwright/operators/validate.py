@@ -12,7 +12,7 @@ from siftwright.functions.tails import chi2_p, correlation_p, mann_whitney_p
 from siftwright.functions.weights import Weights
 from siftwright.operators import bootstrap as B
 from siftwright.operators import frequency as V
-from siftwright.operators.fdr import EffectLimits, adjust
+from siftwright.operators.fdr import EffectLimits, adjust, adjust_large
 from siftwright.operators.intake import _listed
 from siftwright.operators.moments import correlations
 from siftwright.operators.ranks import pair_rank_correlation, pair_rank_sums
@@ -441,15 +441,18 @@ def effect_passes(name: Column, effect: Column, lim: EffectLimits) -> Column:
     )
 
 
-def judge(results: DataFrame, lim: EffectLimits | None = None) -> DataFrame:
-    """q-values over the testable rows of each dataset and the status before resampling."""
+def judge(results: DataFrame, lim: EffectLimits | None = None, large: bool = False) -> DataFrame:
+    """q-values over the testable rows of each dataset and the status before resampling.
+
+    `large` is for batches that grow with data rather than with proposals.
+    """
     lim = lim or EffectLimits()
     df = results.withColumn(
         "direction_match", F.when(F.col("testable"), direction_ok(F.col("direction_expected"), F.col("effect"), F.col("primary_test")))
     ).withColumn(
         "effect_threshold_pass", F.when(F.col("testable"), effect_passes(F.col("effect_name"), F.col("effect"), lim))
     )
-    df = adjust(df, valid=F.col("testable"))
+    df = (adjust_large if large else adjust)(df, valid=F.col("testable"))
     df = df.withColumn("bh_significant", F.coalesce(F.col("adjusted_p") < lim.alpha, F.lit(False)))
     status = (
         F.when(F.col("adjusted_p").isNull(), "not_testable")
