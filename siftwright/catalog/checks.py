@@ -13,7 +13,7 @@ from siftwright.catalog.pairs import kruskal_sql, mwu_sql
 from siftwright.functions.weights import GOLDEN, MIX_1, MIX_2, POISSON_CDF, Weights, row_hash
 from siftwright.operators import bootstrap as B
 from siftwright.operators import intake, validate as C
-from siftwright.plans.materialize import small_frame
+from siftwright.plans.materialize import pin, small_frame
 
 REPS = 5
 
@@ -294,7 +294,7 @@ settled AS (SELECT *, st = 'validated' AS validated, CASE WHEN st <> 'validated'
 
 
 def settled_links(spark, sf) -> DataFrame:
-    judged = C.judge(tested_links(spark, sf), large=True)
+    judged = pin(C.judge(tested_links(spark, sf), large=True))
     boot = judged.filter("validated").select(
         "pos", (F.col("pos") % 13 != 0).alias("bootstrap_testable"), ((F.col("pos") % 13 != 0) & (F.col("pos") % 5 != 0)).alias("bootstrap_stable"),
         F.when(F.col("pos") % 13 == 0, "no_successful_bootstrap_runs").otherwise("").alias("bootstrap_notes"),

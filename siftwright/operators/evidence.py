@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftwright.plans import prompt_text
+from siftwright.plans.materialize import pin
 
 REQUIRED = {
     "var1", "var2", "type", "relationship", "test",
@@ -169,7 +170,8 @@ def shortlist(df: DataFrame, cfg: PackConfig) -> DataFrame:
 def choose_edges(kept: DataFrame, config: PackConfig | None = None) -> DataFrame:
     """Degree-capped greedy choice per dataset with refill; adds `edge_no` 1..k."""
     cfg = config or PackConfig()
-    few = shortlist(candidates(kept, cfg), cfg).drop("open")
+    # Pinned, as the shortlist reads the candidates three times.
+    few = shortlist(pin(candidates(kept, cfg)), cfg).drop("open")
     out = T.StructType(few.schema.fields + [T.StructField("edge_no", T.IntegerType())])
 
     def pick(group: pd.DataFrame) -> pd.DataFrame:
@@ -192,7 +194,7 @@ def choose_edges(kept: DataFrame, config: PackConfig | None = None) -> DataFrame
         chosen["edge_no"] = range(1, len(chosen) + 1)
         return chosen
 
-    return few.groupBy("dataset").applyInPandas(pick, out)
+    return pin(few.groupBy("dataset").applyInPandas(pick, out))
 
 
 def edge_records(edges: DataFrame) -> DataFrame:

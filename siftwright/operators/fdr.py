@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siftwright.operators import frequency as V
 from siftwright.plans.lookup import attach
+from siftwright.plans.materialize import pin
 
 
 @dataclass(frozen=True)
@@ -133,5 +134,6 @@ def correct(df: DataFrame, limits: EffectLimits | None = None, large: bool = Fal
     `large` is for tables that grow with data rather than with the number of column pairs.
     """
     lim = limits or EffectLimits()
-    full = mark_significant((adjust_large if large else adjust)(numeric_fields(df)), lim.alpha)
+    adjusted = pin(adjust_large(numeric_fields(df))) if large else adjust(numeric_fields(df))
+    full = mark_significant(adjusted, lim.alpha)
     return full, keep_effects(full, lim)
