@@ -173,7 +173,7 @@ def with_ids(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: s
     rest = docs.drop(ids_col)
     source = rest.withColumn("__text", F.col(f"`{text_col}`").cast("string"))
     names = rest.columns
-    schema = rest.schema.add(ids_col, T.ArrayType(T.IntegerType()))
+    schema = T.StructType(rest.schema.fields + [T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, cut = _pieces(shared.value, pattern)
@@ -195,7 +195,7 @@ def with_bytes(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids"
     rest = encoded.drop(bytes_col)
     at = rest.columns.index(ids_col)
     names = rest.columns
-    schema = rest.schema.add(bytes_col, "binary")
+    schema = T.StructType(rest.schema.fields + [T.StructField(bytes_col, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = shared.value

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftwright.llm.common import chunks
 
@@ -264,7 +265,7 @@ def extract(pages: DataFrame, html_col: str = "html", text_name: str = "main_tex
     """
     rest = pages.drop(text_name)
     names = rest.columns
-    schema = rest.schema.add(text_name, "string")
+    schema = T.StructType(rest.schema.fields + [T.StructField(text_name, T.StringType())])
     source = rest.withColumn("__html", F.col(f"`{html_col}`").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftwright.llm.common import chunks
 
@@ -266,7 +267,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_name: s
     """
     rest = docs.drop(lang_name, score_name)
     names = rest.columns
-    schema = rest.schema.add(lang_name, "string").add(score_name, "double")
+    schema = T.StructType(rest.schema.fields + [T.StructField(lang_name, T.StringType()), T.StructField(score_name, T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     source = rest.withColumn("__text", F.col(f"`{text_col}`").cast("string"))
 
