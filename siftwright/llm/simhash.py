@@ -1,7 +1,7 @@
 """SimHash near-duplicates: fingerprints of word shingles, linked by a self-join over a binary trie.
 
 Fingerprints are cut into trie nodes of bounded size by a histogram of prefixes. Pairs of nodes whose
-prefixes differ in few enough bits form the work units; a fingerprint travels to the units of its node.
+prefixes differ in few enough bits form the work units; the fingerprints of a node travel to its units in packed pieces.
 Inside a unit node pairs are traversed together from the top: every level adds the differing bit to
 the pair's errors and pairs over the budget are dropped with everything below them.
 
@@ -27,7 +27,7 @@ from siftwright.llm.components import Forest, components
 SHINGLE, SEED, ERRORS = 3, 42, 3
 NODE_ROWS, MAX_NODES, LEAF = 1 << 14, 1 << 13, 12
 STEP = 6
-FRONTIER = 1 << 19
+FRONTIER, PIECE_ROWS = 1 << 19, 1 << 20
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -177,26 +177,35 @@ def near_links(fps: DataFrame, errors: int = ERRORS) -> DataFrame:
         units[i].append(i * n + j)
         if i != j:
             units[j].append(i * n + j)
-    width = np.array([len(u) for u in units])
-    flat, begin = np.array([x for u in units for x in u], np.int64), np.cumsum(width) - width
+
+    def packed(fp: np.ndarray) -> pa.RecordBatch:
+        """One row per unit with all fingerprints that this piece of the input has for it."""
+        node = np.searchsorted(first, fp, side="right") - 1
+        order = np.argsort(node, kind="stable")
+        fp, node = fp[order], node[order]
+        head = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+        rows = [(unit, fp[s:e].tobytes(), unit // n == node[s])
+                for s, e in zip(head.tolist(), [*head[1:].tolist(), len(fp)]) for unit in units[node[s]]]
+        return pa.RecordBatch.from_arrays([
+            pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([bool(r[2]) for r in rows])
+        ], ["unit", "fps", "is_left"])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            fp = np.asarray(batch.column(0)).view(np.uint64)
-            for at in range(0, len(fp), 1 << 14):
-                part = fp[at:at + (1 << 14)]
-                node = np.searchsorted(first, part, side="right") - 1
-                w = width[node]
-                unit = flat[np.repeat(begin[node], w) + np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(unit), pa.array(np.repeat(part, w).view(np.int64)), pa.array(np.repeat(node, w).astype(np.int64) == unit // n)], ["unit", "fp", "is_left"]
-                )
+            held.append(np.asarray(batch.column(0)).view(np.uint64))
+            size += len(held[-1])
+            if size >= PIECE_ROWS:
+                yield packed(np.concatenate(held))
+                held, size = [], 0
+        if size:
+            yield packed(np.concatenate(held))
 
     def link(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         i, j = divmod(int(key[0]), n)
-        fp, is_left = rows["fp"].to_numpy().view(np.uint64), rows["is_left"].to_numpy()
-        a = np.sort(fp[is_left])
-        b = None if i == j else np.sort(fp[~is_left])
+        is_left = rows["is_left"].to_numpy(bool)
+        a = np.sort(np.frombuffer(b"".join(rows["fps"][is_left]), np.uint64))
+        b = None if i == j else np.sort(np.frombuffer(b"".join(rows["fps"][~is_left]), np.uint64))
         if not len(a) or b is not None and not len(b):
             return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
         names = a if b is None else np.concatenate([a, b])
@@ -206,7 +215,7 @@ def near_links(fps: DataFrame, errors: int = ERRORS) -> DataFrame:
         x, y = forest.spanning()
         return pd.DataFrame({"a": names[x].view(np.int64), "b": names[y].view(np.int64)})
 
-    dealt = fps.select("fp").mapInArrow(deal, "unit bigint, fp bigint, is_left boolean")
+    dealt = fps.select("fp").mapInArrow(deal, "unit bigint, fps binary, is_left boolean")
     return dealt.groupBy("unit").applyInPandas(link, "a bigint, b bigint")
 
 
