@@ -59,7 +59,7 @@ def _sliding_min(values: np.ndarray, window: int) -> np.ndarray:
 
 def _pack(columns: list[np.ndarray], text: bytes) -> bytes:
     body = b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
-    return zstandard.compress(struct.pack("<qq", len(columns[0]), len(body)) + body + text, 1)
+    return zstandard.compress(struct.pack("<qq", len(columns[0]), len(body)) + body + text, 3)
 
 
 def _unpack(blob: bytes, kinds: list) -> tuple[list[np.ndarray], bytes]:
