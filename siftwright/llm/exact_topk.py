@@ -23,7 +23,9 @@ from siftwright.llm.common import pin
 from siftwright.llm.vectors import matrix, rows_of, usable
 
 K, SCALE, EVERY = 5, 256.0, 50
-LEVELS = (4, 16)
+LEVELS = (4, 16, 32)
+#: Share of a block from which matrix products are cheaper than single pairs.
+DENSE, PAIRS = 0.05, 1 << 17
 QUERY_BLOCK, ROW_BLOCK = 1024, 4096
 LONG = np.iinfo(np.int64)
 
@@ -52,34 +54,50 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact row-wise inner products; beyond the range of a long they stop at its ends."""
-    most = np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * a.shape[1]
-    if most < 2.0**53:
+    if fits(a, b):
         return np.einsum("nd,nd->n", a, b).astype(np.int64)
     whole = [[int(v) for v in r] for r in a], [[int(v) for v in r] for r in b]
     return np.array([min(max(sum(x * y for x, y in zip(p, q)), LONG.min), LONG.max) for p, q in zip(*whole)], np.int64)
 
 
+def fits(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether doubles hold all products and sums of these integers exactly, in any order of addition."""
+    return np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * a.shape[1] < 2.0**53
+
+
 def block_top(qid: np.ndarray, q: np.ndarray, xid: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query index, row index, score) with the k best rows of the block for each query, ties to the smaller id."""
+    """(query index, row index, score) with the k best rows of the block for each query, ties to the smaller id.
+
+    At each level a query's floor is the k-th best exact score among the rows of the highest bounds; rows bounded below
+    it are out. Where much of the block is left, bounds and scores are matrix products; else they are taken pair by pair.
+    """
     slack = 1e-9 * (1 + np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None])
-    bound = statistics(q, LEVELS[0]) @ statistics(x, LEVELS[0]).T + slack
-    own = qid[:, None] == xid[None]
-    bound[own] = -np.inf
-    # exact scores of the most promising rows give each query a floor
+    alive = qid[:, None] != xid[None]
+    floor = np.full(len(q), -np.inf)
     lead = min(len(x), 4 * k)
-    best = np.argpartition(-bound, lead - 1, axis=1)[:, :lead] if lead < len(x) else np.tile(np.arange(len(x)), (len(q), 1))
-    i = np.repeat(np.arange(len(q)), lead)
-    first = products(q[i], x[best.ravel()]).reshape(len(q), lead).astype(np.float64)
-    first[np.take_along_axis(own, best, 1)] = -np.inf
-    floor = np.sort(first, axis=1)[:, -k] if lead >= k else np.full(len(q), -np.inf)
-    i, j = np.nonzero((bound >= floor[:, None]) & ~own)
-    for level in LEVELS[1:]:
+    for level in LEVELS:
         sq, sx = statistics(q, level), statistics(x, level)
-        keep = [np.einsum("nd,nd->n", sq[i[at:at + (1 << 17)]], sx[j[at:at + (1 << 17)]]) + slack[i[at:at + (1 << 17)], j[at:at + (1 << 17)]] >= floor[i[at:at + (1 << 17)]] for at in range(0, len(i), 1 << 17)]
-        keep = np.concatenate(keep) if keep else np.zeros(0, bool)
-        i, j = i[keep], j[keep]
-    score = np.concatenate([np.zeros(0, np.int64)] + [products(q[i[at:at + (1 << 17)]], x[j[at:at + (1 << 17)]]) for at in range(0, len(i), 1 << 17)])
-    order = np.lexsort((xid[j], -score.astype(object) if len(score) and score.min() == LONG.min else -score, i))
+        if alive.mean() > DENSE:
+            bound = np.where(alive, sq @ sx.T + slack, -np.inf)
+            best = np.argpartition(bound, len(x) - lead, axis=1)[:, len(x) - lead:]
+            first = products(np.repeat(q, lead, axis=0), x[best.ravel()]).reshape(len(q), lead).astype(np.float64)
+            first[~np.take_along_axis(alive, best, 1)] = -np.inf
+            if lead >= k:
+                floor = np.maximum(floor, np.partition(first, lead - k, axis=1)[:, lead - k])
+            alive &= bound >= floor[:, None]
+        else:
+            i, j = np.nonzero(alive)
+            for at in range(0, len(i), PAIRS):
+                a, b = i[at:at + PAIRS], j[at:at + PAIRS]
+                alive[a, b] = np.einsum("nd,nd->n", sq[a], sx[b]) + slack[a, b] >= floor[a]
+    i, j = np.nonzero(alive)
+    if len(i) > DENSE * alive.size and fits(q, x):
+        score = (q @ x.T)[i, j].astype(np.int64)
+    else:
+        score = np.concatenate([np.zeros(0, np.int64)] + [products(q[i[at:at + PAIRS]], x[j[at:at + PAIRS]]) for at in range(0, len(i), PAIRS)])
+    good = score >= floor[i]
+    i, j, score = i[good], j[good], score[good]
+    order = np.lexsort((xid[j], ~score, i))  # ~score falls as score rises, without overflow
     i, j, score = i[order], j[order], score[order]
     rank = np.arange(len(i)) - np.searchsorted(i, i)
     return i[rank < k], j[rank < k], score[rank < k]
