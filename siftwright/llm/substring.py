@@ -6,6 +6,9 @@ about three times and not once for each of its windows. Equal windows have equal
 one bucket; there the windows are sorted by a rolling hash and runs of equal hashes are compared word by word,
 so counts are exact.
 
+Grams that a sample shows to be frequent (a line that many documents share) come last in the order of hashes, so that
+windows around such a line spread over the buckets of their other grams.
+
 Before the shuffle each task drops repeats of a super-k-mer that it has already packed for the current
 piece of its input: those windows are known to be repeated, and their ranges go straight to the result. A passage that
 a third of all documents share thus reaches its bucket once for each piece, not once for each document; a bucket
@@ -29,7 +32,10 @@ from siftwright.llm.common import chunks, column_bytes, hash_strings, joined_wor
 WINDOW, GRAM = 35, 4
 #: Bytes of text per bucket, and the most partitions that buckets are dealt to.
 BUCKET_BYTES, MAX_PARTITIONS, BUCKET_LIMIT = 4 << 20, 20_000, 96 << 20
+#: Text read to find frequent minimisers, and the most of them that are told to all tasks.
+SKEW_BYTES, MAX_HEAVY = 64 << 20, 1 << 16
 _BASE = 0x9E3779B97F4A7C15
+_ORDER = 2**63 - 1
 _RANGE = "k1 bigint, k2 bigint, first int, last int"
 
 
@@ -83,17 +89,28 @@ def _repeats(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return first, np.bincount(first, minlength=len(strings))[first]
 
 
-def super_kmers(k1: np.ndarray, k2: np.ndarray, texts: list[bytes], window: int, gram: int, buckets: int) -> Iterator[tuple[int, int, bytes]]:
+def _minimisers(line: bytes, ends: np.ndarray, counts: np.ndarray, window: int, gram: int, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Minimiser by first word, the text each word belongs to, and the words at which windows start.
+
+    Grams in `heavy` (sorted) come last in the order, so a window takes one only if it holds no other.
+    """
+    codes, words = word_codes(line, ends)
+    grams = mixed(_rolling(hash_strings(words)[codes], gram)) & np.uint64(_ORDER)
+    if len(heavy):
+        frequent = heavy[np.minimum(np.searchsorted(heavy, grams), len(heavy) - 1)] == grams
+        grams = np.where(frequent, grams | np.uint64(_ORDER + 1), grams)
+    least = _sliding_min(grams, window - gram + 1)
+    doc = np.repeat(np.arange(len(counts)), counts)
+    return least, doc, np.flatnonzero(doc[: len(least)] == doc[window - 1:])
+
+
+def super_kmers(k1: np.ndarray, k2: np.ndarray, texts: list[bytes], window: int, gram: int, buckets: int, heavy: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
     """(bucket, kind, blob) of one piece: kind 0 packs super-k-mers, kind 1 ranges known to be repeated."""
     line, starts, ends, counts = joined_words(texts)
     if len(ends) < window:
         return
-    codes, words = word_codes(line, ends)
-    grams = mixed(_rolling(hash_strings(words)[codes], gram))
-    least = _sliding_min(grams, window - gram + 1)
-    doc = np.repeat(np.arange(len(counts)), counts)
+    least, doc, at = _minimisers(line, ends, counts, window, gram, heavy)
     begin = np.cumsum(counts) - counts
-    at = np.flatnonzero(doc[: len(least)] == doc[window - 1:])
     if not len(at):
         return
     new = np.ones(len(at), bool)
@@ -193,14 +210,39 @@ class Bucket:
         yield [k1[e], k2[e], (pos[e] + i).astype(np.int32), (run + w - 1).astype(np.int32)]
 
 
+def heavy_grams(keyed: DataFrame, size: int, buckets: int, window: int, gram: int) -> np.ndarray:
+    """Grams so frequent as minimisers that one of them would fill a good part of a bucket, sorted.
+
+    They are looked for in a sample of about SKEW_BYTES of text, chosen by hash; at most MAX_HEAVY come to the
+    driver. They only change which bucket a window goes to, not what is found there.
+    """
+    share = min(1.0, SKEW_BYTES / max(size, 1))
+    sample = keyed.filter(F.pmod(F.xxhash64("k2", "k1"), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.uint64)
+        for part in chunks(batches, "text"):
+            line, _, ends, counts = joined_words(column_bytes(part.column(0)))
+            if len(ends) >= window:
+                least, _, at = _minimisers(line, ends, counts, window, gram, none)
+                value, n = np.unique(least[at], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(value.astype(np.int64)), pa.array(n.astype(np.int64))], ["gram", "n"])
+
+    counts = sample.select("text").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    found = counts.filter(F.col("n") > window).orderBy(F.desc("n"), "gram").limit(min(4 * buckets, MAX_HEAVY)).collect()
+    floor = sum(r["n"] for r in found) / min(4 * buckets, MAX_HEAVY)
+    return np.array(sorted(r["gram"] for r in found if r["n"] > floor), np.uint64)
+
+
 def repeated_ranges(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(k1, k2, first, last): word ranges (last excluded) of the rows (k1, k2, text) that repeated windows cover."""
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, size // bucket_bytes)
+    heavy = heavy_grams(keyed, size, buckets, window, gram) if buckets > 1 else np.zeros(0, np.uint64)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "text"):
-            rows = list(super_kmers(np.asarray(part.column(0)), np.asarray(part.column(1)), column_bytes(part.column(2)), window, gram, buckets))
+            rows = list(super_kmers(np.asarray(part.column(0)), np.asarray(part.column(1)), column_bytes(part.column(2)), window, gram, buckets, heavy))
             yield pa.RecordBatch.from_arrays([
                 pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())
             ], ["bucket", "kind", "blob"])
