@@ -131,7 +131,8 @@ def cut_points(ends: Ends, shards: int) -> tuple[int, list[int]]:
         below = ends.before(want)
         above = below if below == want else ends.after(want)
         pick = below if want - below <= above - want else above
-        at = max(min(pick, ends.before(at + capacity)), least[k], at)
+        # a shard takes one group at least while there are any
+        at = max(min(pick, ends.before(at + capacity)), least[k], ends.after(at))
         cuts.append(at)
     return capacity, cuts
 
