@@ -26,7 +26,7 @@ from siftwright.llm.common import chunks
 
 LEAF, DIRECT = 4, 48
 #: Remembered pieces, halves and pairs per worker; beyond that the older half is forgotten.
-MEMO = 300_000
+MEMO = 120_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:

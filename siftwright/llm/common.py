@@ -17,7 +17,7 @@ __all__ = ["pin", "unpin", "table", "chunks", "column_bytes", "joined_words", "w
 
 #: The words of every contract here: runs of anything but space and the five ASCII controls 9-13.
 WORD = r"[^\x20\x09-\x0D]+"
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -55,6 +55,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
             to = max(at + 1, int(np.searchsorted(total, before + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()  # workers live on between tasks
 
 
 def joined_words(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:

@@ -30,7 +30,7 @@ CHAINS, CHAIN_WORDS, EPOCHS, BATCH, RATE, DECAY = 6000, 24, 6, 250, 0.5, 1e-5
 BUCKETS = 1 << 16
 LEXICON = 3000
 BLOCK = 128
-MEMO = 400_000
+MEMO = 150_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -61,12 +61,16 @@ class Model:
     def __setstate__(self, state):
         self.__init__(*state)
 
+    def forget(self) -> None:
+        """Free what was remembered about words."""
+        self.memo.clear()
+        self.rows = []
+
     def scores(self, words: list[str]) -> np.ndarray:
         """Scores of each word for each language."""
         memo = self.memo
         if len(memo) > MEMO:
-            memo.clear()
-            self.rows = []
+            self.forget()
         new = [w for w in dict.fromkeys(words) if w not in memo]
         if new:
             lists = [features(w, self.lexicon) for w in new]
@@ -276,5 +280,6 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_name: s
         for part in chunks(batches, "__text"):
             lang, score = learned.predict(part.column(len(names)).to_pylist())
             yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(lang, pa.string()), pa.array(score)], [*names, lang_name, score_name])
+        learned.forget()
 
     return source.mapInArrow(run, schema)
