@@ -116,8 +116,10 @@ CENTRED = "(SELECT score - avg(score) OVER () AS y, o_totalprice - avg(o_totalpr
 @query("ols", f"""WITH {SALES}, s AS (SELECT sum(x1 * x1) AS s11, sum(x2 * x2) AS s22, sum(x1 * x2) AS s12, sum(x1 * y) AS s1y, sum(x2 * y) AS s2y FROM {CENTRED})
 SELECT 0::INTEGER AS pos, count(*) AS n, round(regr_slope(score, c_acctbal), 6) AS effect, 'c_acctbal' AS main_predictor_column, '' AS notes FROM sales
 UNION ALL SELECT 1, (SELECT count(*) FROM sales), round((s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12), 6), 'o_totalprice', '' FROM s
-UNION ALL SELECT 2, any_value(nn), round(max_by(m - ma, abs(m - ma) / sqrt(1.0 / na + 1.0 / n)), 6), 'grade_' || max_by(grade, abs(m - ma) / sqrt(1.0 / na + 1.0 / n)), '' FROM (
-  SELECT grade, avg(score) AS m, count(*) AS n, first(avg(score)) OVER (ORDER BY grade) AS ma, first(count(*)) OVER (ORDER BY grade) AS na, sum(count(*)) OVER ()::BIGINT AS nn FROM sales GROUP BY grade) WHERE grade <> 'A'""")
+UNION ALL (SELECT 2, nn, round(m - ma, 6), 'grade_' || grade, '' FROM (
+  SELECT grade, avg(score) AS m, count(*) AS n, first(avg(score)) OVER (ORDER BY grade) AS ma, first(count(*)) OVER (ORDER BY grade) AS na, sum(count(*)) OVER ()::BIGINT AS nn,
+    sum(var_pop(score) * count(*)) OVER () / (sum(count(*)) OVER () - 3) AS s2 FROM sales GROUP BY grade) WHERE grade <> 'A'
+  ORDER BY least(abs(m - ma) / sqrt(s2 * (1.0 / na + 1.0 / n)), 38) DESC, grade LIMIT 1)""")  # beyond t = 38 every p is 0
 def _(spark, sf):
     """Least squares with one number, with a control, and with a category as predictor."""
     specs = [

@@ -31,7 +31,7 @@ def _(spark, sf):
     return R.feature_type_counts(_profiles(spark, sf))
 
 
-@query("report_missing", f"""{TYPED} SELECT dataset, "column", missing_rate FROM p WHERE missing_rate > 0 ORDER BY missing_rate DESC LIMIT 20""")
+@query("report_missing", f"""{TYPED} SELECT dataset, "column", missing_rate FROM p WHERE missing_rate > 0 QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY missing_rate DESC, "column") <= 20""")
 def _(spark, sf):
     return R.top_missing(_profiles(spark, sf))
 

@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-_STEPS = 10_000
+_STEPS = 50_000
+_LARGE, _LARGE_CHI2 = 1e9, 1e6
 _EPS = 1e-16
 _SMALL = 1e-300
 
@@ -43,6 +44,8 @@ def _beta_fraction(x: float, a: float, b: float) -> float:
             out *= c * d
         if abs(c * d - 1.0) < _EPS * 4:
             break
+    else:
+        raise ArithmeticError(f"incomplete beta at {x}, {a}, {b} did not converge")
     return out
 
 
@@ -56,6 +59,8 @@ def t_two_sided(share: float, dof: float) -> float:
         return 1.0
     a, b = dof / 2.0, 0.5
     front = _log_gamma_gap(a) - math.lgamma(0.5) + a * math.log(share) + b * math.log1p(-share)
+    if dof > _LARGE:  # normal to well below 1e-8 here
+        return math.erfc(math.sqrt(-0.5 * dof * math.log(share)))
     if share < (a + 1) / (a + b + 2):
         return math.exp(front) * _beta_fraction(share, a, b) / a
     return 1.0 - math.exp(front) * _beta_fraction(1.0 - share, b, a) / b
@@ -76,6 +81,9 @@ def chi2_upper(x: float, df: float) -> float:
         return math.nan
     if x <= 0:
         return 1.0
+    if df > _LARGE_CHI2:  # Wilson and Hilferty's cube root; its error falls with 1 / df
+        spread = 2.0 / (9.0 * df)
+        return 0.5 * math.erfc(((x / df) ** (1 / 3) - (1 - spread)) / math.sqrt(2 * spread))
     a, z = df / 2.0, x / 2.0
     log_front = a * math.log(z) - z - math.lgamma(a)
     if z < a + 1:
@@ -85,6 +93,8 @@ def chi2_upper(x: float, df: float) -> float:
             total += term
             if term < total * _EPS:
                 break
+        else:
+            raise ArithmeticError(f"chi-square tail at {x}, {df} did not converge")
         return 1.0 - math.exp(log_front) * total
     b = z + 1 - a
     c, d = 1 / _SMALL, 1.0 / b
@@ -99,6 +109,8 @@ def chi2_upper(x: float, df: float) -> float:
         out *= c * d
         if abs(c * d - 1.0) < _EPS * 4:
             break
+    else:
+        raise ArithmeticError(f"chi-square tail at {x}, {df} did not converge")
     return math.exp(log_front) * out
 
 

@@ -66,7 +66,7 @@ class PackConfig:
 
 
 def check_columns(df: DataFrame) -> None:
-    missing = sorted(REQUIRED - set(df.columns))
+    missing = sorted((REQUIRED | {"pair_pos"}) - set(df.columns))
     if missing:
         raise ValueError(f"association table lacks columns: {missing}")
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwright.functions.numbers import tolerant
 from siftwright.operators import frequency as V
 from siftwright.plans.lookup import attach
 from siftwright.plans.materialize import pin
@@ -29,9 +30,9 @@ def usable_p(p: Column) -> Column:
 def numeric_fields(df: DataFrame) -> DataFrame:
     """p, effect and n read tolerantly: text that is no number becomes NULL."""
     return (
-        df.withColumn("p_value", F.col("p_value").try_cast("double"))
-        .withColumn("effect", F.col("effect").try_cast("double"))
-        .withColumn("n", F.col("n").try_cast("double").cast("bigint"))
+        df.withColumn("p_value", tolerant(df, "p_value"))
+        .withColumn("effect", tolerant(df, "effect"))
+        .withColumn("n", tolerant(df, "n").cast("bigint"))
     )
 
 

@@ -6,8 +6,10 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftwright import schemas
+from siftwright.functions.numbers import tolerant_as
 from siftwright.operators.profile import (
     ProfileConfig, ingest, original_types, profile_frame, profile_rows,
 )
@@ -152,7 +154,8 @@ class PrepModel:
             raw = F.col(f"`{name}`") if name in present else F.lit(None).cast("string")
             method = imp["method"] if imp else None
             if method in ("mean", "median"):
-                clean = F.coalesce(raw.try_cast("double"), F.lit(imp["num_value"]))
+                kind = table.schema[name].dataType if name in present else T.StringType()
+                clean = F.coalesce(tolerant_as(raw, kind), F.lit(imp["num_value"]))
             elif method == "constant_missing":
                 clean = F.coalesce(raw.cast("string"), F.lit(imp["str_value"]))
             else:
@@ -209,9 +212,11 @@ class PrepModel:
         out = self.output_columns()
         engineered = [c for c in out if c.endswith(("__is_missing", "__is_outlier"))]
         dropped = [r["column"] for r in self.rules if r["drop"]]
-        return cleaned.agg(F.count(F.lit(1)).alias("output_rows")).select(
+        one, none = F.lit(1).alias("i"), F.lit(0).alias("i")
+        counted = raw.select(one, F.lit(0).alias("o")).unionAll(cleaned.select(none, F.lit(1).alias("o")))
+        return counted.agg(F.coalesce(F.sum("i"), F.lit(0)).alias("input_rows"), F.coalesce(F.sum("o"), F.lit(0)).alias("output_rows")).select(
             F.lit(self.dataset).alias("dataset"), F.lit(mode).alias("mode"),
-            F.col("output_rows").alias("input_rows"),
+            "input_rows",
             F.lit(len(raw.columns)).alias("input_cols"),
             "output_rows",
             F.lit(len(out)).alias("output_cols"),

@@ -151,9 +151,9 @@ def _least_squares(tri: np.ndarray, d: Design) -> tuple:
 
 
 def _main_effect(n, coef, p, t2, wanted, names) -> tuple:
-    """Predictor with the least p; among equal p the larger statistic, then the first column."""
+    """Predictor with the least p; among equal p (several may be 0) the first column."""
     idx = np.flatnonzero(wanted)
-    order = np.lexsort((idx, -t2[idx], p[idx]))
+    order = np.lexsort((idx, p[idx]))
     best = idx[order[0]]
     return n, float(coef[best]), float(p[best]), str(names[best]), ""
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwright.plans.prompt_text import SUMMARY_HEAD
@@ -118,10 +118,10 @@ def feature_type_counts(profile: DataFrame) -> DataFrame:
 
 
 def top_missing(profile: DataFrame) -> DataFrame:
-    """Columns with missing values, highest rate first, at most 20 of them."""
-    return profile.filter(F.col("missing_rate") > 0).orderBy(F.col("missing_rate").desc(), "dataset", "position").limit(
-        TOP_MISSING
-    ).select("dataset", "column", "missing_rate")
+    """Columns with missing values, highest rate first, at most 20 of each dataset."""
+    order = Window.partitionBy("dataset").orderBy(F.col("missing_rate").desc(), "position")
+    ranked = profile.filter(F.col("missing_rate") > 0).withColumn("_nth", F.row_number().over(order))
+    return ranked.filter(F.col("_nth") <= TOP_MISSING).select("dataset", "column", "missing_rate")
 
 
 def profile_view(profile: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwright import schemas
+from siftwright.functions.numbers import tolerant
 from siftwright.functions.tails import chi2_p, correlation_p, mann_whitney_p
 from siftwright.functions.weights import Weights
 from siftwright.operators import bootstrap as B
@@ -145,8 +146,7 @@ class Bench:
         picked = with_row_id(picked, key)
         exprs: list[Column] = []
         for c, i in self.at.items():
-            number = F.col(f"`{c}`").try_cast("double")
-            exprs.append(F.when(~F.isnan(number), number).alias(f"n{i}"))
+            exprs.append(tolerant(picked, c).alias(f"n{i}"))
             exprs.append(F.col(f"`{c}`").cast("string").alias(f"s{i}"))
         self.frame = picked.select("rid", *exprs)
 

@@ -104,6 +104,8 @@ def finish(run: Run, responses: DataFrame, config: RunConfig | None = None) -> R
     run.tables |= {"hypotheses": hypotheses, "response_errors": errors}
     present = {r["dataset"] for r in hypotheses.select("dataset").distinct().collect()}
     known = [name for name in run.test_sets if name in present]
+    # responses for datasets that this run does not have
+    run.tables["unknown_datasets"] = hypotheses.filter(~F.col("dataset").isin(list(run.test_sets)) | F.col("dataset").isNull())
     if not known:
         run.stopped_after = "hypotheses"
         return run

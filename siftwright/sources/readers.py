@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,7 +34,7 @@ def _kinds(df: DataFrame) -> dict[str, str]:
         v = F.trim(F.col(f"`{c}`"))
         aggs += [
             F.count(v).alias(f"n{i}"),
-            F.count_if(v.rlike(r"^[+-]?\d{1,18}$")).alias(f"i{i}"),
+            F.count_if(v.rlike(r"^[+-]?\d+$") & v.try_cast("bigint").isNotNull()).alias(f"i{i}"),
             F.count_if(v.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$") | F.lower(v).isin("inf", "-inf", "infinity", "-infinity")).alias(f"d{i}"),
             F.count_if(v.isin("True", "False", "TRUE", "FALSE", "true", "false")).alias(f"b{i}"),
         ]
@@ -56,13 +56,15 @@ def read_csv(
     sep: str = ",",
     na_values: list[str] | None = None,
     schema: str | T.StructType | None = None,
+    multiline: bool = False,
 ) -> DataFrame:
     """A CSV table with missing-value tokens as NULL and types inferred from what is left.
 
-    `names` reads a file without header. `schema` skips the inference scan.
+    `names` reads a file without header. `schema` skips the inference scan. `multiline` reads
+    line breaks inside quotes; each file is then read by one task, so leave it off for large files without any.
     """
     tokens = NA_TOKENS + list(na_values or [])
-    reader = spark.read.option("sep", sep).option("header", names is None).option("quote", '"').option("escape", '"')
+    reader = spark.read.option("sep", sep).option("header", names is None).option("quote", '"').option("escape", '"').option("multiLine", multiline)
     if names is not None:
         reader = reader.schema(T.StructType([T.StructField(n, T.StringType()) for n in names]))
     text = reader.csv(path)
@@ -90,7 +92,8 @@ def empty_associations(spark: SparkSession) -> DataFrame:
 def read_associations(spark: SparkSession, path: str, dataset: str) -> DataFrame:
     """An association file in fixed columns; a missing or empty file gives an empty table.
 
-    `pair_pos` is the order of rows in the file; such files have one row per column pair.
+    `pair_pos` is taken from the file, or else the order of rows by part file and position in it. Such files have
+    one row per column pair, so numbering them is a small sort.
     """
     try:
         raw = spark.read.option("header", True).option("escape", '"').csv(path)
@@ -101,7 +104,10 @@ def read_associations(spark: SparkSession, path: str, dataset: str) -> DataFrame
     if not raw.columns:
         return empty_associations(spark)
     want = T.StructType.fromDDL(schemas.FDR + ", pair_pos int")
-    have = {"dataset": F.lit(dataset), "pair_pos": F.monotonically_increasing_id()}
+    have = {"dataset": F.lit(dataset)}
+    if "pair_pos" not in raw.columns:
+        placed = raw.withColumns({"_file": F.input_file_name(), "_row": F.monotonically_increasing_id()})
+        raw = placed.withColumn("pair_pos", F.row_number().over(Window.orderBy("_file", "_row")) - 1)
     cols = []
     for f in want.fields:
         c = have.get(f.name, F.col(f.name) if f.name in raw.columns else F.lit(None))
