@@ -42,7 +42,8 @@ def test_chi_square_tail_at_large_df(df):
 
 
 def test_t_tail_at_large_dof():
-    assert abs(t_two_sided(2e9 / (2e9 + 4), 2e9) - math.erfc(math.sqrt(2))) < 1e-9
+    # the share itself is only known to 2**-53, times the degrees of freedom
+    assert abs(t_two_sided(2e9 / (2e9 + 4), 2e9) - math.erfc(math.sqrt(2))) < 1e-8
 
 
 def test_first_column_wins_among_equal_p():
