@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwright.llm.common import chunks
+from siftwright.llm.common import chunks, small_batches
 
 LEAF, DIRECT = 4, 48
 #: Remembered pieces, halves and pairs per worker; beyond that the older half is forgotten.
@@ -163,20 +163,42 @@ def _pieces(ranks: dict[bytes, int], pattern: str) -> tuple[Pieces, "regex.Patte
     return _WORKER[key]
 
 
-def with_ids(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+def _vocabulary(ranks: dict[bytes, int]) -> pa.Array:
+    tokens = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    return pa.array(tokens, pa.large_binary())
+
+
+def _decoded(ids: pa.Array, vocabulary: pa.Array) -> pa.Array:
+    """Bytes of each list of ids: the tokens' bytes one after the other."""
+    length = np.asarray(pc.fill_null(ids.value_lengths(), 0), np.int64)
+    taken = vocabulary.take(ids.flatten())
+    offsets = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset: taken.offset + len(taken) + 1] if len(taken) else np.zeros(1, np.int64)
+    ends = offsets[np.concatenate([[0], np.cumsum(length)])]
+    line = taken.buffers()[2]
+    data = memoryview(line) if line is not None else b""
+    return pa.array([bytes(data[s:e]) for s, e in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary())
+
+
+def with_ids(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", ids_col: str = "ids", bytes_col: str | None = None) -> DataFrame:
     """All columns of `docs` and `ids_col`, the array of token ids of the whole text; a column of that name is replaced.
 
+    With `bytes_col` the ids are decoded in the same pass, as `with_bytes` would.
+
     A null or empty text has no ids. No special tokens. Every row is encoded by itself, so repeated rows
     agree and an empty table stays empty. The vocabulary (fixed size) is broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
-    rest = docs.drop(ids_col)
+    small_batches(docs.sparkSession)
+    rest = docs.drop(ids_col, *([bytes_col] if bytes_col else []))
     source = rest.withColumn("__text", F.col(f"`{text_col}`").cast("string"))
     names = rest.columns
-    schema = T.StructType(rest.schema.fields + [T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
+    schema = T.StructType(rest.schema.fields + [T.StructField(ids_col, T.ArrayType(T.IntegerType()))] + [T.StructField(bytes_col, T.BinaryType())] * bool(bytes_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, cut = _pieces(shared.value, pattern)
+        vocabulary = _vocabulary(shared.value) if bytes_col else None
         for part in chunks(batches, "__text"):
             lists, count = [], [0]
             for text in part.column(len(names)).to_pylist():
@@ -184,7 +206,8 @@ def with_ids(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: s
                 lists.append(packed)
                 count.append(count[-1] + len(packed) // 4)
             ids = pa.ListArray.from_arrays(pa.array(count, pa.int32()), pa.array(np.frombuffer(b"".join(lists), np.int32)))
-            yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], ids], [*names, ids_col])
+            made = [ids, _decoded(ids, vocabulary)] if bytes_col else [ids]
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *made], schema.names)
 
     return source.mapInArrow(run, schema)
 
@@ -198,20 +221,8 @@ def with_bytes(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids"
     schema = T.StructType(rest.schema.fields + [T.StructField(bytes_col, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = shared.value
-        tokens = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            tokens[rank] = token
-        vocabulary = pa.array(tokens, pa.large_binary())
+        vocabulary = _vocabulary(shared.value)
         for batch in batches:
-            column = batch.column(at)
-            length = np.asarray(pc.fill_null(column.value_lengths(), 0), np.int64)
-            taken = vocabulary.take(column.flatten())
-            offsets = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset: taken.offset + len(taken) + 1] if len(taken) else np.zeros(1, np.int64)
-            ends = offsets[np.concatenate([[0], np.cumsum(length)])]
-            line = taken.buffers()[2]
-            data = memoryview(line) if line is not None else b""
-            out = pa.array([bytes(data[s:e]) for s, e in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, out], [*names, bytes_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _decoded(batch.column(at), vocabulary)], [*names, bytes_col])
 
     return rest.mapInArrow(run, schema)

@@ -13,17 +13,31 @@ from pyspark.sql import functions as F
 
 from siftwright.plans.materialize import pin
 
-__all__ = ["pin", "unpin", "table", "chunks", "column_bytes", "joined_words", "word_codes", "hash_strings", "text_or_empty"]
+__all__ = ["pin", "unpin", "small_batches", "table", "chunks", "column_bytes", "joined_words", "word_codes", "hash_strings", "text_or_empty"]
 
 #: The words of every contract here: runs of anything but space and the five ASCII controls 9-13.
 WORD = r"[^\x20\x09-\x0D]+"
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES, BATCH_BYTES = 2 << 20, 8 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Send texts to Python in batches of a few MB, so that memory does not depend on how long a batch's rows are.
+
+    A session setting, lowered only; it changes no result.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "-1").lower()
+    units = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30, "": 1}
+    number = now.rstrip("bkmg")
+    size = int(number) * units.get(now[len(number):], 1)
+    if not 0 < size <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def unpin(df: DataFrame) -> None:
     """Delete the files of a pinned table that no later step reads."""
     spark = df.sparkSession

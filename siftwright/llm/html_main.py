@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwright.llm.common import chunks
+from siftwright.llm.common import chunks, small_batches
 
 # HTML element names.
 RAW = ("script", "style", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "textarea", "select", "title", "xmp", "noembed", "noframes")
@@ -263,6 +263,7 @@ def extract(pages: DataFrame, html_col: str = "html", text_name: str = "main_tex
     Null and empty pages, and pages without text, give an empty text. Nothing is capped: time and memory grow with the page's
     length. Repeated rows agree; an empty table stays empty.
     """
+    small_batches(pages.sparkSession)
     rest = pages.drop(text_name)
     names = rest.columns
     schema = T.StructType(rest.schema.fields + [T.StructField(text_name, T.StringType())])

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwright.llm.common import chunks
+from siftwright.llm.common import chunks, small_batches
 
 UNKNOWN = "und"
 #: At most this many labelled texts per language are fitted on; every text is predicted.
@@ -269,6 +269,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_name: s
 
     Only the text is looked at. `und` with score 0 if it is null or holds no letter. Repeated rows agree; an empty table stays empty.
     """
+    small_batches(docs.sparkSession)
     rest = docs.drop(lang_name, score_name)
     names = rest.columns
     schema = T.StructType(rest.schema.fields + [T.StructField(lang_name, T.StringType()), T.StructField(score_name, T.DoubleType())])

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwright.llm.common import chunks, column_bytes, pin
+from siftwright.llm.common import chunks, column_bytes, pin, small_batches
 from siftwright.llm.components import Forest, components
 
 SHINGLE, SEED, ERRORS = 3, 42, 3
@@ -53,6 +53,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Other columns of `docs`, whatever their names, are not read.
     """
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_hash"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

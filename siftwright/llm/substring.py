@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwright.llm.common import chunks, column_bytes, hash_strings, joined_words, mixed, word_codes
+from siftwright.llm.common import chunks, column_bytes, hash_strings, joined_words, mixed, small_batches, word_codes
 
 WINDOW, GRAM = 35, 4
 #: Bytes of text per bucket, and the most partitions that buckets are dealt to.
@@ -276,6 +276,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     apart by hashes of id and text; rows equal in both get equal ranges anyway. Nothing shorter than
     `window` words is removed.
     """
+    small_batches(docs.sparkSession)
     keyed = docs.withColumn("dedup", F.struct(
         F.xxhash64(F.col(f"`{id_col}`")).alias("k1"), F.xxhash64(F.col(f"`{text_col}`")).alias("k2"),
         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),

@@ -271,6 +271,8 @@ def test_bpe_odd_rows(make_docs, odd_rows, vocabulary):
     ranks, library = vocabulary
     docs = make_docs(odd_rows, ids="clash", decoded=5)
     out = byte_bpe.with_bytes(byte_bpe.with_ids(docs, ranks, public_tokenizers.PATTERN), ranks).collect()
+    once = byte_bpe.with_ids(docs, ranks, public_tokenizers.PATTERN, bytes_col="decoded").collect()
+    assert sorted((r.ids, r.decoded) for r in once) == sorted((r.ids, r.decoded) for r in out)
     assert len(out) == len(odd_rows)
     for r in out:
         assert r.ids == library.encode_ordinary(r.text or "") and bytes(r.decoded) == (r.text or "").encode()
