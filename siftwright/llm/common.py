@@ -30,7 +30,7 @@ def small_batches(spark: SparkSession) -> None:
     A session setting, lowered only; it changes no result.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(key, "-1").lower()
+    now = spark.conf.get(key).lower()
     units = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30, "": 1}
     number = now.rstrip("bkmg")
     size = int(number) * units.get(now[len(number):], 1)
