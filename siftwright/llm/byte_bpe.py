@@ -194,7 +194,7 @@ def with_ids(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: s
     rest = docs.drop(ids_col, *([bytes_col] if bytes_col else []))
     source = rest.withColumn("__text", F.col(f"`{text_col}`").cast("string"))
     names = rest.columns
-    schema = T.StructType(rest.schema.fields + [T.StructField(ids_col, T.ArrayType(T.IntegerType()))] + [T.StructField(bytes_col, T.BinaryType())] * bool(bytes_col))
+    schema = T.StructType(rest.schema.fields + [T.StructField(ids_col, T.ArrayType(T.IntegerType()))] + ([T.StructField(bytes_col, T.BinaryType())] if bytes_col else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, cut = _pieces(shared.value, pattern)
