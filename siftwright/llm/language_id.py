@@ -30,7 +30,7 @@ CHAINS, CHAIN_WORDS, EPOCHS, BATCH, RATE, DECAY = 6000, 24, 6, 250, 0.5, 1e-5
 BUCKETS = 1 << 16
 LEXICON = 3000
 BLOCK = 128
-MEMO = 150_000
+MEMO = 300_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -281,6 +281,5 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_name: s
         for part in chunks(batches, "__text"):
             lang, score = learned.predict(part.column(len(names)).to_pylist())
             yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(lang, pa.string()), pa.array(score)], [*names, lang_name, score_name])
-        learned.forget()
 
     return source.mapInArrow(run, schema)
