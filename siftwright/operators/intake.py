@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftwright import schemas
 
@@ -28,8 +32,31 @@ def _is_list(v: Column) -> Column:
     return _kind(v).startswith("ARRAY")
 
 
+def _plain_json(text: str | None) -> str | None:
+    try:
+        # the last value of a repeated key stays; numbers that JSON cannot hold become null
+        value = json.loads(text, parse_constant=lambda _: None) if text else None
+        return json.dumps(value) if isinstance(value, dict) else None
+    except (ValueError, RecursionError):
+        return None
+
+
+@F.pandas_udf(T.StringType())
+def _lenient(texts: pd.Series) -> pd.Series:
+    return texts.map(_plain_json)
+
+
+def _read(text: Column) -> Column:
+    """JSON as a variant; what the strict parser refuses (repeated keys, bare NaN) is read leniently."""
+    strict = F.try_parse_json(text)
+    return F.coalesce(strict, F.try_parse_json(_lenient(F.when(strict.isNull(), text))))
+
+
 def extract(responses: DataFrame, text: str = "response") -> DataFrame:
-    """Add `doc`: the whole text as a JSON object, else the part from the first { to the last }."""
+    """Add `doc`: the whole text as a JSON object, else the part from the first { to the last }.
+
+    Of repeated keys the last one counts, and a bare NaN or Infinity is read as null.
+    """
     trimmed = F.trim(F.col(text))
     start = F.instr(trimmed, "{")
     back = F.instr(F.reverse(trimmed), "}")
@@ -38,8 +65,8 @@ def extract(responses: DataFrame, text: str = "response") -> DataFrame:
         (start > 0) & (back > 0) & (end > start), F.substring(trimmed, start, end - start + 1)
     )
     return (
-        responses.withColumn("_whole", F.try_parse_json(trimmed))
-        .withColumn("_inner", F.try_parse_json(inner))
+        responses.withColumn("_whole", _read(trimmed))
+        .withColumn("_inner", _read(inner))
         .withColumn(
             "doc",
             F.when(_is_object(F.col("_whole")), F.col("_whole")).when(_is_object(F.col("_inner")), F.col("_inner")),

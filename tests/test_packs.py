@@ -118,3 +118,14 @@ def test_faults_are_named(spark):
     df = spark.createDataFrame([(k, v[0]) for k, v in cases.items()], "dataset string, response string")
     got = {r["dataset"]: r["error"] for r in intake.check(df).select("dataset", "error").collect()}
     assert got == {k: v[1] for k, v in cases.items()}
+
+
+def test_repeated_keys_and_bare_nan_are_read(spark):
+    texts = [
+        ("a", '{"hypotheses": [1], "hypotheses": []}'), ("b", 'Here: {"hypotheses": [], "score": NaN} done'),
+        ("c", '{"hypotheses": [}'), ("d", None), ("e", ""), ("f", "[NaN]"),
+    ]
+    rows = intake.check(spark.createDataFrame(texts, "dataset string, response string")).collect()
+    errors = {r["dataset"]: r["error"] for r in rows}
+    assert errors["a"] is None and errors["b"] is None
+    assert all(errors[k] == intake.NOT_JSON for k in "cdef")

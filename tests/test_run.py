@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 import check
 from siftwright.catalog.checks import hypothesis
 from siftwright.operators import report as R
-from siftwright.plans.pipeline import Source, discover, finish
+from siftwright.plans.pipeline import Source, discover, finish, save
 from siftwright.sources.writers import StageStore
 
 SAMPLE = [
@@ -34,7 +34,7 @@ def test_entry(spark, small):
 
 
 def test_run_stops_and_goes_on(spark, small, tmp_path):
-    o = spark.read.parquet(f"{small}/orders.parquet").withColumn("double_price", F.col("o_totalprice") * 2 + F.col("o_custkey") * 900)
+    o = spark.read.parquet(f"{small}/orders.parquet").withColumn("double_price", F.col("o_totalprice") * 2 + F.col("o_custkey") * 900).withColumn("row_key", F.col("o_custkey") % 7)
     run = discover({"orders": Source(o, "o_orderkey", "o_orderstatus")})
     assert run.stopped_after == "prompt" and "results" not in run.tables
     assert run["packs"].count() == 1 and run["prompts"].count() == 1
@@ -53,7 +53,13 @@ def test_run_stops_and_goes_on(spark, small, tmp_path):
         R.require_accepted(run["results"].filter("id = 'H2'"))
     with pytest.raises(ValueError, match="final_accepted"):
         R.accepted(run["results"].drop("final_accepted"))
+    assert {r["mode"]: r["input_rows"] for r in run["cleaning_summary"].collect()} == {"train": run["split_summary"].first()["train_rows"], "test": run["split_summary"].first()["test_rows"]}
+    assert run["response_metadata"].first()["hypothesis_count"] == 2
+    assert [r["id"] for r in run["hypotheses_final"].collect()] == ["H1"] and run["hypotheses_kept"].count() == 2
     store = StageStore(spark, str(tmp_path))
+    assert len(save(run, store)) == len(run.tables)
+    again = store.load("hypotheses", "hypotheses")
+    assert again.count() == 2 and store.load("validation", "hypotheses_final").first()["id"] == "H1"
     for form in ("parquet", "csv", "json"):
         store.save("validation", f"results_{form}", run["results"], form)
     assert store.load("validation", "results_parquet").count() == 2
