@@ -330,6 +330,17 @@ def _capped(slim: DataFrame, plan: Plan, cfg: ScreenConfig, pairs: list, sides:
     return keep, skip
 
 
+def _varying(slim: DataFrame, skipped: list, width: int = 200) -> list:
+    """The skipped pairs whose number takes at least two values inside its complete cases; others are no pair at all."""
+    out = []
+    for s in range(0, len(skipped), width):
+        part = skipped[s:s + width]
+        values = [F.when(F.col(f"`{p[2]}`").isNotNull(), V.as_double(p[1])) for p in part]
+        row = slim.agg(*[(F.min(v) < F.max(v)).alias(f"v{i}") for i, v in enumerate(values)]).first()
+        out += [p for i, p in enumerate(part) if row[f"v{i}"]]
+    return out
+
+
 def _linear_pairs(slim: DataFrame, plan: Plan, cfg: ScreenConfig, num_num: list) -> list[DataFrame]:
     """Pearson rows."""
     linear = [p for p in num_num if not wants_ranks(plan.facts[p[1]], plan.facts[p[2]], cfg)]
@@ -348,6 +359,7 @@ def _ranked_pairs(slim: DataFrame, plan: Plan, cfg: ScreenConfig, num_num: list,
     parts: list[DataFrame] = []
     ranked = [p for p in num_num if wants_ranks(plan.facts[p[1]], plan.facts[p[2]], cfg)]
     grouped, skipped = _capped(slim, plan, cfg, num_cat, ("b",)) if num_cat else ([], [])
+    skipped = _varying(slim, skipped)
     if skipped:
         parts.append(_skipped(spark, [
             (p, a, b, "num_cat", "group_difference", "skipped", None, "eta2", None, n, f"too_many_categories_{k}")

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftwright import schemas
+from siftwright.operators import screen as S
 from siftwright.operators.fdr import adjust, adjust_large, correct
 from siftwright.operators.profile import profile
 from siftwright.operators.screen import screen, wants_ranks, ScreenConfig
@@ -142,3 +143,9 @@ def test_missing_association_file_is_an_empty_table(spark, tmp_path):
 def test_empty_input_keeps_the_layout(spark):
     full, kept = correct(spark.createDataFrame([], schemas.ASSOCIATIONS))
     assert full.count() == kept.count() == 0 and "adjusted_p" in kept.columns
+
+
+def test_constant_number_is_no_pair(spark):
+    df = spark.createDataFrame([(1.0, 1.0, "a"), (1.0, 2.0, "b"), (3.0, 2.0, None)], "x double, y double, c string")
+    pairs = [(0, "x", "c", 2, 0, 2), (1, "y", "c", 2, 0, 2)]
+    assert S._varying(df, pairs, width=1) == pairs[1:] and S._varying(df, []) == []
