@@ -1,7 +1,8 @@
 """Linear and logistic regressions from sums that one scan can add up.
 
 A task turns its rows into partial sums (cross products for least squares, gradient and curvature
-for logistic steps); Spark adds them per hypothesis and replicate; only p x p systems are solved.
+for logistic steps); Spark adds them and solves one p x p system per hypothesis and replicate in a task
+of its own. Only coefficients, p numbers each, come to the driver.
 """
 
 from __future__ import annotations
@@ -86,6 +87,18 @@ def _flat(pos: int, sums: np.ndarray) -> pd.DataFrame:
     })
 
 
+def _moments(z: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Triangle of z' W z for every column of weights; no temporary is wider than z."""
+    i, j = _triangle(z.shape[1])
+    return np.column_stack([(z.T @ (z * w[:, r : r + 1]))[i, j] for r in range(w.shape[1])])
+
+
+def _square(tri: np.ndarray, q: int) -> np.ndarray:
+    g = np.zeros((q, q))
+    g[_triangle(q)] = tri
+    return g + np.triu(g, 1).T
+
+
 def _summed(partials: DataFrame) -> DataFrame:
     return partials.groupBy("pos", "rep", "k").agg(F.sum("s").alias("s"))
 
@@ -103,8 +116,7 @@ def cross_products(frame: DataFrame, designs: list[Design], weights: Weights) ->
             for d in designs:
                 x, y, ok = d.rows(pdf)
                 z = np.column_stack([ok.astype(float), x, y])
-                i, j = _triangle(z.shape[1])
-                part = (z[:, i] * z[:, j]).T @ w
+                part = _moments(z, w)
                 total[d.pos] = total[d.pos] + part if d.pos in total else part
         for pos, sums in total.items():
             yield _flat(pos, sums)
@@ -116,9 +128,7 @@ def _least_squares(tri: np.ndarray, d: Design) -> tuple:
     """(n, effect, p, column, note) from one triangle of cross products."""
     p = len(d.names())
     q = p + 2
-    g = np.zeros((q, q))
-    g[_triangle(q)] = tri
-    g = g + np.triu(g, 1).T
+    g = _square(tri, q)
     n = g[0, 0]
     if n < 3:
         return n, None, None, None, "too_few_complete_cases_for_regression"
@@ -163,13 +173,11 @@ def least_squares(frame: DataFrame, designs: list[Design], weights: Weights) ->
     by_pos = {d.pos: d for d in designs}
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
-        pos = int(group["pos"].iloc[0])
-        d = by_pos[pos]
-        table = group.pivot(index="rep", columns="k", values="s").sort_index()
-        out = [(pos, int(rep), *_least_squares(row, d)) for rep, row in zip(table.index, table.to_numpy())]
-        return pd.DataFrame(out, columns=["pos", "rep", "n", "effect", "p_value", "main_column", "note"])
+        pos, rep = int(group["pos"].iloc[0]), int(group["rep"].iloc[0])
+        found = _least_squares(group.sort_values("k")["s"].to_numpy(), by_pos[pos])
+        return pd.DataFrame([(pos, rep, *found)], columns=["pos", "rep", "n", "effect", "p_value", "main_column", "note"])
 
-    return cross_products(frame, designs, weights).groupBy("pos").applyInPandas(solve, RESULT)
+    return cross_products(frame, designs, weights).groupBy("pos", "rep").applyInPandas(solve, RESULT)
 
 
 def logistic(frame: DataFrame, designs: list[Design], weights: Weights) -> DataFrame:
@@ -180,24 +188,18 @@ def logistic(frame: DataFrame, designs: list[Design], weights: Weights) -> DataF
     spark = frame.sparkSession
     reps = weights.reps if weights.kind != "ones" else 1
     start: dict[int, np.ndarray] = {}
-    sums = cross_products(frame, designs, weights).collect()
+    widths = {d.pos: len(d.names()) + 1 for d in designs}
+    sums = {p: np.zeros((2 * w + 1, reps)) for p, w in widths.items()}
+    for r in _column_sums(frame, designs, weights).collect():
+        sums[r["pos"]][r["k"], r["rep"]] = r["s"]
     facts: dict[int, dict] = {}
     for d in designs:
-        p = len(d.names())
-        i, j = _triangle(p + 2)
-        at = {(a, b): k for k, (a, b) in enumerate(zip(i, j))}
-        tri = np.zeros((len(i), reps))
-        for r in sums:
-            if r["pos"] == d.pos:
-                tri[r["k"], r["rep"]] = r["s"]
-        n = tri[at[0, 0]]
-        diag = np.array([tri[at[c, c]] for c in range(1, p + 1)])
-        mean = np.array([tri[at[0, c]] for c in range(1, p + 1)])
+        w, found = widths[d.pos], sums[d.pos]
+        n, total, squares = found[0], found[1:w], found[w + 1 : 2 * w]
         with np.errstate(divide="ignore", invalid="ignore"):
-            live = (diag - mean**2 / n) > 1e-12 * diag
-        ones = tri[at[0, p + 1]]
-        facts[d.pos] = {"n": n, "live": live, "ones": ones}
-        start[d.pos] = np.zeros((p + 1, reps))
+            live = (squares - total**2 / n) > 1e-12 * squares
+        facts[d.pos] = {"n": n, "live": live, "ones": found[2 * w]}
+        start[d.pos] = np.zeros((w, reps))
 
     note: dict[tuple[int, int], str] = {}
     moving: dict[int, np.ndarray] = {}
@@ -222,31 +224,19 @@ def logistic(frame: DataFrame, designs: list[Design], weights: Weights) -> DataF
         todo = [d for d in designs if moving[d.pos].any()]
         if not todo:
             break
-        sums = _newton_sums(frame, todo, weights, beta, moving)
-        for d in todo:
-            p = len(d.names()) + 1
-            i, j = _triangle(p)
-            got = sums.get(d.pos, {})
-            for r in np.flatnonzero(moving[d.pos]):
-                vec = got[int(r)]
-                keep = np.concatenate([[True], facts[d.pos]["live"][:, r]])
-                h = np.zeros((p, p))
-                h[i, j] = vec[p:]
-                h = h + np.triu(h, 1).T
-                hk = h[np.ix_(keep, keep)]
-                try:
-                    inv = np.linalg.inv(hk)
-                    if not np.isfinite(inv).all() or np.linalg.cond(hk) > 1e15:
-                        raise np.linalg.LinAlgError
-                except np.linalg.LinAlgError:
-                    note[d.pos, int(r)] = "regression_fit_failed:LinAlgError:Singular matrix"
-                    moving[d.pos][r] = False
-                    continue
-                step = inv @ vec[:p][keep]
-                beta[d.pos][keep, r] += step
-                curvature[d.pos, int(r)] = (keep, inv)
-                if np.max(np.abs(step)) < NEWTON_TOLERANCE:
-                    moving[d.pos][r] = False
+        live = {d.pos: facts[d.pos]["live"] for d in todo}
+        for r in _newton_steps(frame, todo, weights, beta, moving, live):
+            pos, rep = r["pos"], r["rep"]
+            if r["step"] is None:
+                note[pos, rep] = "regression_fit_failed:LinAlgError:Singular matrix"
+                moving[pos][rep] = False
+                continue
+            keep = np.concatenate([[True], live[pos][:, rep]])
+            step = np.array(r["step"])
+            beta[pos][keep, rep] += step
+            curvature[pos, rep] = (keep, np.array(r["spread"]))
+            if np.max(np.abs(step)) < NEWTON_TOLERANCE:
+                moving[pos][rep] = False
 
     out = []
     for d in designs:
@@ -256,17 +246,41 @@ def logistic(frame: DataFrame, designs: list[Design], weights: Weights) -> DataF
             if (d.pos, r) in note:
                 out.append((d.pos, r, n, None, None, None, note[d.pos, r]))
                 continue
-            keep, inv = curvature[d.pos, r]
+            keep, spread = curvature[d.pos, r]
             live = keep[1:]
             b = beta[d.pos][1:, r][live]
-            z = b / np.sqrt(np.diag(inv)[1:])
+            z = b / np.sqrt(spread[1:])
             pv = np.array([normal_two_sided(float(v)) for v in z])
             out.append((d.pos, r, *_main_effect(n, b / d.scales()[live], pv, z * z, want[live], names[live])))
     return small_frame(spark, out, RESULT)
 
 
-def _newton_sums(frame, designs, weights, beta, moving) -> dict:
-    """Gradient and curvature sums at the current coefficients: {pos: {rep: vector}}."""
+def _column_sums(frame: DataFrame, designs: list[Design], weights: Weights) -> DataFrame:
+    """Weighted sums of (1, X), of their squares, and of y per hypothesis and replicate."""
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            w = weights.matrix(pdf["h"].to_numpy()).astype(float)
+            for d in designs:
+                x, y, ok = d.rows(pdf)
+                z = np.column_stack([ok.astype(float), x])
+                part = np.vstack([z.T @ w, (z * z).T @ w, y @ w])
+                total[d.pos] = total[d.pos] + part if d.pos in total else part
+        for pos, sums in total.items():
+            yield _flat(pos, sums)
+
+    return _summed(frame.mapInPandas(partial, PARTIAL))
+
+
+STEP = "pos int, rep int, step array<double>, spread array<double>"
+
+
+def _newton_steps(frame, designs, weights, beta, moving, live) -> list:
+    """Newton step and diagonal of the inverse curvature, per hypothesis and replicate still moving.
+
+    Sums are added and solved per (hypothesis, replicate); a singular system gives no step.
+    """
     coefs = {d.pos: beta[d.pos].copy() for d in designs}
     active = {d.pos: np.flatnonzero(moving[d.pos]) for d in designs}
 
@@ -279,18 +293,24 @@ def _newton_sums(frame, designs, weights, beta, moving) -> dict:
                 z = np.column_stack([ok.astype(float), x])
                 w = w_all[:, active[d.pos]] * ok[:, None]
                 mu = 1.0 / (1.0 + np.exp(-np.clip(z @ coefs[d.pos][:, active[d.pos]], -500, 500)))
-                i, j = _triangle(z.shape[1])
-                part = np.vstack([z.T @ (w * (y[:, None] - mu)), (z[:, i] * z[:, j]).T @ (w * mu * (1.0 - mu))])
+                part = np.vstack([z.T @ (w * (y[:, None] - mu)), _moments(z, w * mu * (1.0 - mu))])
                 total[d.pos] = total[d.pos] + part if d.pos in total else part
         for pos, sums in total.items():
             yield _flat(pos, sums)
 
-    out: dict[int, dict[int, np.ndarray]] = {}
-    for r in _summed(frame.mapInPandas(partial, PARTIAL)).collect():
-        rep = int(active[r["pos"]][r["rep"]])
-        vec = out.setdefault(r["pos"], {}).setdefault(rep, None)
-        if vec is None:
-            p = coefs[r["pos"]].shape[0]
-            vec = out[r["pos"]][rep] = np.zeros(p + p * (p + 1) // 2)
-        vec[r["k"]] = r["s"]
-    return out
+    def solve(group: pd.DataFrame) -> pd.DataFrame:
+        pos, nth = int(group["pos"].iloc[0]), int(group["rep"].iloc[0])
+        rep, p = int(active[pos][nth]), len(coefs[pos])
+        vec = group.sort_values("k")["s"].to_numpy()
+        keep = np.concatenate([[True], live[pos][:, rep]])
+        h = _square(vec[p:], p)[np.ix_(keep, keep)]
+        step = spread = None
+        try:
+            inverse = np.linalg.inv(h)
+            if np.isfinite(inverse).all() and np.linalg.cond(h) <= 1e15:
+                step, spread = (inverse @ vec[:p][keep]).tolist(), np.diag(inverse).tolist()
+        except np.linalg.LinAlgError:
+            pass
+        return pd.DataFrame([(pos, rep, step, spread)], columns=["pos", "rep", "step", "spread"])
+
+    return _summed(frame.mapInPandas(partial, PARTIAL)).groupBy("pos", "rep").applyInPandas(solve, STEP).collect()
