@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from itertools import combinations, product
+from math import factorial
 
 from pyspark.sql import functions as F
 
@@ -37,23 +38,60 @@ LINES = """lines AS (SELECT l_quantity, l_extendedprice, l_discount, l_tax, l_su
 NUMS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_suppkey", "q4"]
 
 
-def pearson_sql(rel: str, a: str, b: str) -> str:
+# Integrals in SQL, for tails that DuckDB has no function for: Simpson's rule on so many panels.
+PANELS = 8_000
+
+
+def _area(height: str) -> str:
+    """Integral from 0 to `top` of `height`, which is written in terms of `u`."""
+    u = f"(top * k / {PANELS})"
+    part = f"(CASE WHEN k = 0 OR k = {PANELS} THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * {height.replace('{u}', u)}"
+    return f"top / {3 * PANELS} * list_sum(list_transform(range({PANELS + 1}), lambda k: {part}))"
+
+
+def correlation_p_sql(rows: str) -> str:
+    """`rows` with the Student-t p of their unrounded effect; for n of 200 and more.
+
+    With r = sin(angle) the density is that of cos(angle)^(v - 1); past 12 deviations p is 0 to 30 digits.
+    """
+    front = "2 / sqrt(pi()) * exp(0.5 * ln(v / 2) - 1 / (4 * v) + 1 / (24 * v * v * v))"
+    return f"""SELECT * EXCLUDE (v, top), greatest(0.0, 1 - {front} * {_area('pow(cos({u}), v - 1)')}) AS p_value
+  FROM (SELECT *, (n - 2)::DOUBLE AS v, least(asin(least(abs(effect), 1.0)), 12 / sqrt(n - 2)) AS top FROM ({rows}))"""
+
+
+def even_chi2_p(x: str, df: int) -> str:
+    """Upper chi-square tail at even degrees of freedom: a finite sum."""
+    half = f"({x} / 2)"
+    return f"exp(-{half}) * (" + " + ".join(f"pow({half}, {j}) / {factorial(j)}" for j in range(df // 2)) + ")"
+
+
+def full_sql(source: str, dataset: str) -> str:
+    """`source` (unrounded rows) with q-values and significance, as a screen returns them."""
+    return f"""pairs AS (SELECT '{dataset}' AS dataset, * FROM ({source})), {fdr_sql('pairs')}
+SELECT * REPLACE (round(effect, 9) + 0.0 AS effect, round(p_value, 9) AS p_value, round(adjusted_p, 9) AS adjusted_p), adjusted_p < 0.05 AS significant FROM adjusted"""
+
+
+def _shown(value: str, raw: bool) -> str:
+    return value if raw else f"round({value}, 9)"
+
+
+def pearson_sql(rel: str, a: str, b: str, raw: bool = False) -> str:
     return f"""SELECT '{a}' AS var1, '{b}' AS var2, 'num_num' AS type, 'linear' AS relationship, 'pearsonr' AS test,
-  round(corr({a}, {b}), 9) AS effect, 'r' AS effect_name, regr_count({a}, {b})::BIGINT AS n, '' AS notes FROM {rel}"""
+  {_shown(f'corr({a}, {b})', raw)} AS effect, 'r' AS effect_name, regr_count({a}, {b})::BIGINT AS n, '' AS notes FROM {rel}"""
 
 
-def spearman_sql(rel: str, a: str, b: str) -> str:
+def spearman_sql(rel: str, a: str, b: str, raw: bool = False) -> str:
     def mid(c: str) -> str:
         return f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0"
 
     return f"""SELECT '{a}' AS var1, '{b}' AS var2, 'num_num' AS type, 'monotonic' AS relationship, 'spearmanr' AS test,
-  round(corr(ra, rb), 9) AS effect, 'rho' AS effect_name, count(*) AS n, '' AS notes
+  {_shown('corr(ra, rb)', raw)} AS effect, 'rho' AS effect_name, count(*) AS n, '' AS notes
   FROM (SELECT ({mid(a)})::DOUBLE AS ra, ({mid(b)})::DOUBLE AS rb FROM {rel} WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"""
 
 
-def _both(rel: str, names: list[str], ranked: set[str]) -> str:
+def _both(rel: str, names: list[str], ranked: set[str], raw: bool = False) -> str:
     return " UNION ALL ".join(
-        (spearman_sql if {a, b} & ranked else pearson_sql)(rel, a, b) for a, b in combinations(names, 2)
+        (spearman_sql if {a, b} & ranked else pearson_sql)(rel, a, b, raw) for a, b in combinations(names, 2)
     )
 
 
@@ -75,13 +113,16 @@ def _(spark, sf):
     return _screen(df, "num_num")
 
 
-@query("numnum_screen")
+LINE_NUMS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query("numnum_screen", f"WITH {full_sql(correlation_p_sql(_both('lineitem', LINE_NUMS, set(), True)), 'lineitem')}")
 def _(spark, sf):
     """Numeric pairs of lineitem with p and q; the q-values are over these pairs."""
     df = table(spark, sf, "lineitem").drop("l_shipdate", "l_returnflag", "l_linestatus")
     model = Prep().fit(df, "lineitem")
     full, _ = correct(screen(model.transform(df), model.profile, "lineitem", families=("num_num",)))
-    return full.drop("pair_pos")
+    return digits(full.drop("pair_pos"))
 
 
 WIDE = [f"v{i}" for i in range(12)]
@@ -110,19 +151,27 @@ def ranks_sql(rel: str, y: str, g: str) -> str:
   count(*) OVER (PARTITION BY {y}) AS t FROM {rel} WHERE {y} IS NOT NULL AND {g} IS NOT NULL"""
 
 
-def mwu_sql(rel: str, y: str, g: str) -> str:
+def mwu_sql(rel: str, y: str, g: str, raw: bool = False) -> str:
+    """With `raw`, unrounded and with the two-sided p: normal, corrected for ties and continuity."""
+    sums = f"""SELECT sum(rk) FILTER (lv = lo) AS r1, (count(*) FILTER (lv = lo))::DOUBLE AS n1, (count(*) FILTER (lv <> lo))::DOUBLE AS n2, sum(t::DOUBLE * t - 1) AS ties
+    FROM (SELECT *, min(lv) OVER () AS lo FROM ({ranks_sql(rel, y, g)}))"""
+    if raw:
+        gap = "abs(r1 - n1 * (n1 + 1) / 2 - n1 * n2 / 2) - 0.5"
+        spread = "sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1))))"
+        sums = f"SELECT *, least(12.0, ({gap}) / {spread}) AS top FROM ({sums})"
+    p = f", least(1.0, greatest(0.0, 1 - sqrt(2 / pi()) * {_area('exp(-{u} * {u} / 2)')})) AS p_value" if raw else ""
+    effect = _shown("1 - 2 * (r1 - n1 * (n1 + 1) / 2) / (n1 * n2)", raw)
     return f"""SELECT '{y}' AS var1, '{g}' AS var2, 'num_cat' AS type, 'group_difference' AS relationship, 'mannwhitneyu' AS test,
-  round(1 - 2 * (r1 - n1 * (n1 + 1) / 2) / (n1 * n2), 9) AS effect, 'rank_biserial' AS effect_name, (n1 + n2)::BIGINT AS n, 'nonparametric_preferred' AS notes
-  FROM (SELECT sum(rk) FILTER (lv = lo) AS r1, (count(*) FILTER (lv = lo))::DOUBLE AS n1, (count(*) FILTER (lv <> lo))::DOUBLE AS n2
-    FROM (SELECT *, min(lv) OVER () AS lo FROM ({ranks_sql(rel, y, g)})))"""
+  {effect} AS effect, 'rank_biserial' AS effect_name, (n1 + n2)::BIGINT AS n, 'nonparametric_preferred' AS notes{p}
+  FROM ({sums})"""
 
 
-def kruskal_sql(rel: str, y: str, g: str, p: bool = False) -> str:
+def kruskal_sql(rel: str, y: str, g: str, p: bool = False, raw: bool = False) -> str:
     h = "((12 / (n * (n + 1)) * rss - 3 * (n + 1)) / (1 - ties / (n * n * n - n)))"
-    # Upper chi-square tail for even degrees of freedom.
-    tail = f", CASE k WHEN 3 THEN round(exp(-{h} / 2), 9) WHEN 5 THEN round(exp(-{h} / 2) * (1 + {h} / 2), 9) END AS p_value" if p else ""
+    at = " ".join(f"WHEN {df + 1} THEN {even_chi2_p(h, df)}" for df in (2, 4))
+    tail = f", {_shown(f'CASE k {at} END', raw)} AS p_value" if p or raw else ""
     return f"""SELECT '{y}' AS var1, '{g}' AS var2, 'num_cat' AS type, 'group_difference' AS relationship, 'kruskal' AS test,
-  round(ssb / sst, 9) AS effect, 'eta2_approx' AS effect_name, n::BIGINT AS n, 'nonparametric_preferred' AS notes{tail}
+  {_shown('ssb / sst', raw)} AS effect, 'eta2_approx' AS effect_name, n::BIGINT AS n, 'nonparametric_preferred' AS notes{tail}
   FROM (SELECT sum(ng)::DOUBLE AS n, count(*) AS k, sum(rs * rs / ng) AS rss, sum(tie) AS ties, sum(ng * (m - gm) * (m - gm)) AS ssb, any_value(sst) AS sst FROM (
     SELECT lv, count(*) AS ng, sum(rk) AS rs, sum(t::DOUBLE * t - 1) AS tie, avg(y) AS m, any_value(gm) AS gm, any_value(sst) AS sst FROM (
       SELECT *, avg(y) OVER () AS gm, var_pop(y) OVER () * count(*) OVER () AS sst FROM ({ranks_sql(rel, y, g)})) GROUP BY lv))"""
@@ -149,10 +198,11 @@ def _(spark, sf):
 # ---- category by category -----------------------------------------------------------------------
 
 
-def chi2_sql(rel: str, a: str, b: str) -> str:
-    return f"""SELECT '{a}' AS var1, '{b}' AS var2, 'cat_cat' AS type, 'association' AS relationship, 'chi2' AS test, round(sqrt(x / (n * least(r - 1, c - 1))), 9) AS effect,
+def chi2_sql(rel: str, a: str, b: str, raw: bool = False) -> str:
+    at = " ".join(f"WHEN {df} THEN {even_chi2_p('x', df)}" for df in (2, 4, 8, 16))
+    return f"""SELECT '{a}' AS var1, '{b}' AS var2, 'cat_cat' AS type, 'association' AS relationship, 'chi2' AS test, {_shown('sqrt(x / (n * least(r - 1, c - 1)))', raw)} AS effect,
   'cramers_v' AS effect_name, n::BIGINT AS n, CASE WHEN low > 0.2 THEN 'sparse_table_expected_counts_low' ELSE '' END AS notes,
-  round(CASE (r - 1) * (c - 1) WHEN 2 THEN exp(-x / 2) WHEN 4 THEN exp(-x / 2) * (1 + x / 2) WHEN 8 THEN exp(-x / 2) * (1 + x / 2 + x * x / 8 + x * x * x / 48) END, 9) AS p_value
+  {_shown(f'CASE (r - 1) * (c - 1) {at} END', raw)} AS p_value
   FROM (SELECT sum((o - e) * (o - e) / e) AS x, sum(o) AS n, count(DISTINCT a) AS r, count(DISTINCT b) AS c, avg(CASE WHEN e < 5 THEN 1.0 ELSE 0.0 END) AS low FROM (
     SELECT ra.a, cb.b, coalesce(o, 0)::DOUBLE AS o, rn * cn / nn::DOUBLE AS e
     FROM (SELECT {a} AS a, count(*) AS rn FROM {rel} WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY 1) ra
@@ -167,13 +217,7 @@ SALES_CATS = ["o_orderstatus", "o_orderpriority", "c_mktsegment", "size", "grade
 @query("catcat_chi2", f"WITH {SALES} " + " UNION ALL ".join(chi2_sql("sales", a, b) for a, b in combinations(SALES_CATS, 2)))
 def _(spark, sf):
     df = sales(spark, sf).select(*SALES_CATS)
-    out = screen(df, profile(df), "d", families=("cat_cat",))
-    # Degrees of freedom 3 and 12 have no closed tail, so SQL states no p for them.
-    even = F.col("p_value")
-    sizes = {"o_orderstatus": 3, "o_orderpriority": 5, "c_mktsegment": 5, "size": 2, "grade": 3}
-    levels = F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(v))])
-    df2 = (levels[F.col("var1")] - 1) * (levels[F.col("var2")] - 1)
-    return digits(out.select(*SHOWN, F.when(df2.isin(2, 4, 8), even).alias("p_value")))
+    return _screen(df, "cat_cat", columns=SHOWN + ["p_value"])
 
 
 @query("catcat_gaps", f"WITH {LINEITEM_GAPS} " + chi2_sql("lineitem_gaps", "l_returnflag", "l_linestatus"))
@@ -244,10 +288,19 @@ def _(spark, sf):
     return keep_effects(full, lim).select("dataset", "pair_pos")
 
 
-@query("full_screen")
+# Columns of the joined sales table in their order; `cube` is skewed, so its correlations are of ranks.
+SALES_NUMS = ["o_totalprice", "c_acctbal", "c_nationkey", "score", "cube"]
+ALL_SALES = " UNION ALL BY NAME ".join(f"SELECT * FROM ({s})" for s in [
+    correlation_p_sql(_both("sales", SALES_NUMS, {"cube"}, True)),
+    *((mwu_sql if g == "size" else kruskal_sql)("sales", y, g, raw=True) for y, g in product(SALES_NUMS, SALES_CATS)),
+    *(chi2_sql("sales", a, b, True) for a, b in combinations(SALES_CATS, 2)),
+])
+
+
+@query("full_screen", f"WITH {SALES}, {full_sql(ALL_SALES, 'sales')}")
 def _(spark, sf):
     """All three families of the joined sales table with p, q and significance."""
     df = sales(spark, sf).drop("o_orderkey")
     model = Prep().fit(df, "sales")
     full, _ = screen_and_correct(model.transform(df), model.profile, "sales", ScreenConfig())
-    return full.drop("pair_pos")
+    return digits(full.drop("pair_pos"))
