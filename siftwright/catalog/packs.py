@@ -86,17 +86,6 @@ def _(spark, sf):
     ))
 
 
-@query("pack_nodes", f"""WITH RECURSIVE {CANDIDATES}, {greedy_sql('candidates')}
-SELECT dataset, name AS "column", row_number() OVER (PARTITION BY dataset ORDER BY name)::INTEGER AS node_no FROM
-  (SELECT dataset, var1 AS name FROM edges UNION SELECT dataset, var2 FROM edges) QUALIFY node_no <= 5""")
-def _(spark, sf):
-    records = E.edge_records(E.choose_edges(_kept(spark, sf)))
-    blank = records.select("dataset", F.col("var1").alias("column")).limit(0)
-    for f in ["outlier_method", *E.NODE_FIELDS]:
-        blank = blank.withColumn(f, F.lit(None).cast("string"))
-    return E.pack_nodes(records, blank, E.PackConfig(max_vars=5)).select("dataset", "column", "node_no")
-
-
 def _profile_like(links: DataFrame) -> DataFrame:
     """A profile row per variable of the link table."""
     v = links.select("dataset", F.explode(F.array("var1", "var2")).alias("column"), "n").groupBy("dataset", "column").agg(F.count(F.lit(1)).alias("n_unique"))
@@ -107,6 +96,18 @@ def _profile_like(links: DataFrame) -> DataFrame:
     )
 
 
+@query("pack_nodes", f"""WITH RECURSIVE {CANDIDATES}, {greedy_sql('candidates')},
+seen AS (SELECT dataset, name, count(*) AS n_unique FROM (SELECT dataset, var1 AS name FROM part_links UNION ALL SELECT dataset, var2 FROM part_links) GROUP BY ALL)
+SELECT dataset, name AS "column", row_number() OVER (PARTITION BY dataset ORDER BY name)::INTEGER AS node_no, 'numeric_continuous' AS feature_type, 'float64' AS dtype,
+  0.0::DOUBLE AS missing_rate, n_unique, 0.5::DOUBLE AS skewness, 0.0::DOUBLE AS outlier_rate, 'iqr' AS outlier_method FROM
+  (SELECT dataset, var1 AS name FROM edges UNION SELECT dataset, var2 FROM edges) JOIN seen USING (dataset, name) QUALIFY node_no <= 5""")
+def _(spark, sf):
+    """First variables by name, each with its profile."""
+    links = part_links(spark, sf)
+    records = E.edge_records(E.choose_edges(_kept(spark, sf)))
+    return E.pack_nodes(records, _profile_like(links), E.PackConfig(max_vars=5)).drop("issues")
+
+
 @query("evidence_packs", f"""WITH RECURSIVE {CANDIDATES}, {greedy_sql('candidates')}
 SELECT dataset, count(*)::INTEGER AS n_edges, (SELECT count(DISTINCT v) FROM (SELECT dataset AS d, var1 AS v FROM edges UNION SELECT dataset, var2 FROM edges) WHERE d = dataset)::INTEGER AS n_variables,
   string_agg(DISTINCT test, ',' ORDER BY test) AS tests, string_agg(var1 || '~' || var2, ',' ORDER BY edge_no) AS pairs FROM edges GROUP BY dataset""")
