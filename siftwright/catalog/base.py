@@ -1,7 +1,7 @@
 """Registry of runnable queries and the SQL that states the same result.
 
-Every query reads whole tables of one folder. SQL is left out where it has no way to say the
-result (Student-t and normal tails, iterative fits); those are checked in tests instead.
+Every query reads whole tables of one folder. SQL is left out for iterative fits, prompt texts and
+whole runs; those are checked in tests instead.
 """
 
 from __future__ import annotations
