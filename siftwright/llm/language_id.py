@@ -35,9 +35,8 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def features(word: str, lexicon: dict[str, int]) -> list[int]:
-    """Hashed affixes and n-grams of a lower-case word, and its lexicon entry."""
-    h, edge = zlib.crc32, f"<{word[:40]}>" if len(word) <= 40 else f"<{word[:20]}{word[-20:]}>"
-    raw = edge.encode("utf-8", "surrogatepass")
+    """Hashed affixes and n-grams of a lower-case word, all of it however long, and its lexicon entry."""
+    h, raw = zlib.crc32, f"<{word}>".encode("utf-8", "surrogatepass")
     found = {h(raw[:k], 1) for k in (2, 3, 4)} | {h(raw[-k:], 2) for k in (2, 3, 4)}
     found |= {h(raw[i:i + k], 3) for k in (2, 3) for i in range(len(raw) - k + 1)}
     out = [x % BUCKETS for x in found]
