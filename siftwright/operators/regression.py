@@ -21,6 +21,8 @@ from siftwright.plans.materialize import small_frame
 
 NEWTON_STEPS = 35
 NEWTON_TOLERANCE = 1e-8
+#: Designs of more columns add up only the products that occur, and their widest category is eliminated level by level.
+WIDE = 512
 RESULT = "pos int, rep int, n double, effect double, p_value double, main_column string, note string"
 
 
@@ -67,6 +69,35 @@ class Design:
             ], dtype=bool)
         return np.array([t.source in self.predictors for t in self.terms for _ in t.names()], dtype=bool)
 
+    def width(self) -> int:
+        return sum(max(1, len(t.levels) - 1) for t in self.terms)
+
+    def block(self) -> tuple[int, int]:
+        """Columns of the widest category; no row has two of them."""
+        sizes = [max(1, len(t.levels) - 1) for t in self.terms]
+        widest = max(range(len(sizes)), key=lambda i: (bool(self.terms[i].levels), sizes[i]))
+        return sum(sizes[:widest]), sum(sizes[: widest + 1])
+
+    def entries(self, pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(columns, values, y, complete): the entries of (1, X), one column per term; the same zeroing as `rows`."""
+        at, columns, values, ok = 1, [np.zeros(len(pdf), np.int64)], [], np.ones(len(pdf), bool)
+        for t in self.terms:
+            col = pdf[t.column].to_numpy(dtype=float)
+            if t.levels:
+                level = np.where(np.isnan(col), 0, col).astype(np.int64)
+                columns.append(at + np.maximum(level - 1, 0))
+                values.append((level > 0).astype(float))
+                at += len(t.levels) - 1
+            else:
+                ok &= ~np.isnan(col)
+                columns.append(np.full(len(pdf), at))
+                values.append((col - t.centre) / t.scale)
+                at += 1
+        y = self.outcome.values(pdf)[:, 0]
+        ok &= ~np.isnan(y)
+        values = np.column_stack([np.ones(len(pdf)), *values])
+        return np.column_stack(columns), np.where(ok[:, None], values, 0.0), np.where(ok, y, 0.0), ok
+
     def rows(self, pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(X, y, complete) of a batch; incomplete rows are zeroed so they add nothing."""
         x = np.hstack([t.values(pdf) for t in self.terms])
@@ -103,7 +134,83 @@ def _summed(partials: DataFrame) -> DataFrame:
     return partials.groupBy("pos", "rep", "k").agg(F.sum("s").alias("s"))
 
 
-PARTIAL = "pos int, rep int, k int, s double"
+PARTIAL = "pos int, rep int, k bigint, s double"
+
+
+def _pairs(columns: np.ndarray, values: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(triangle index, product, row) of all products of entries of one row that are not 0."""
+    keys, products = [], []
+    for a in range(columns.shape[1]):
+        for b in range(a, columns.shape[1]):
+            i, j = np.minimum(columns[:, a], columns[:, b]), np.maximum(columns[:, a], columns[:, b])
+            keys.append(i * q - i * (i - 1) // 2 + j - i)
+            products.append(values[:, a] * values[:, b])
+    rows, keys, products = np.tile(np.arange(len(columns)), len(keys)), np.concatenate(keys), np.concatenate(products)
+    some = products != 0
+    return keys[some], products[some], rows[some]
+
+
+def _sparse(pos: int, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], weights: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+    """(pos, rep, k, s) of the weighted sums by key, one table per replicate; each part has row weights of its own."""
+    keys, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    for r in range(weights[0].shape[1]):
+        terms = np.concatenate([p[1] * w[p[2], r] for p, w in zip(parts, weights)])
+        sums = np.bincount(inverse, terms, len(keys))
+        some = sums != 0
+        if some.any():
+            yield pd.DataFrame({"pos": pos, "rep": r, "k": keys[some], "s": sums[some]})
+
+
+def _unpack(k: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of triangle indices."""
+    i = np.arange(q, dtype=np.int64)
+    first = i * q - i * (i - 1) // 2
+    row = np.searchsorted(first, k, side="right") - 1
+    return row, k - first[row] + row
+
+
+class Arrow:
+    """Generalised inverse of a symmetric matrix over (1, X) with a diagonal block, which is eliminated.
+
+    Only the other columns make a dense matrix. `null` spans what the matrix maps to 0.
+    """
+
+    def __init__(self, i, j, s, keep: np.ndarray, block: np.ndarray, scale: np.ndarray, tolerance: float):
+        """Triplets i <= j of which columns `keep` stay; `block` marks the diagonal ones; both are divided by `scale`."""
+        self.inside, self.outside = np.flatnonzero(keep & block), np.flatnonzero(keep & ~block)
+        s = s / (scale[i] * scale[j])
+        at = np.full(len(keep), -1)
+        at[self.inside], at[self.outside] = np.arange(len(self.inside)), np.arange(len(self.outside))
+        live = keep[i] & keep[j]
+        i, j, s = i[live], j[live], s[live]
+        bi, bj = block[i], block[j]
+        self.d = np.zeros(len(self.inside))
+        own = bi & bj
+        self.d[at[i[own]]] = s[own]
+        cross, edge = bi != bj, np.zeros((len(self.inside), len(self.outside)))
+        edge[np.where(bi, at[i], at[j])[cross], np.where(bi, at[j], at[i])[cross]] = s[cross]
+        rest, c = ~bi & ~bj, np.zeros((len(self.outside),) * 2)
+        c[at[i[rest]], at[j[rest]]] = s[rest]
+        c[at[j[rest]], at[i[rest]]] = s[rest]
+        self.w = edge / self.d[:, None]
+        size = np.sqrt(np.diag(c))
+        values, vectors = np.linalg.eigh((c - edge.T @ self.w) / np.outer(size, size))
+        use = values > tolerance * len(c)
+        vectors = vectors / size[:, None]
+        self.s = (vectors[:, use] / values[use]) @ vectors[:, use].T
+        self.null = np.zeros((len(keep), int((~use).sum())))
+        self.null[self.outside], self.null[self.inside] = vectors[:, ~use], -self.w @ vectors[:, ~use]
+
+    def solve(self, right: np.ndarray) -> np.ndarray:
+        out = np.zeros_like(right)
+        out[self.outside] = self.s @ (right[self.outside] - self.w.T @ right[self.inside])
+        out[self.inside] = (right[self.inside].T / self.d).T - self.w @ out[self.outside]
+        return out
+
+    def diagonal(self, n: int) -> np.ndarray:
+        out = np.zeros(n)
+        out[self.outside], out[self.inside] = np.diag(self.s), 1 / self.d + ((self.w @ self.s) * self.w).sum(1)
+        return out
 
 
 def cross_products(frame: DataFrame, designs: list[Design], weights: Weights) -> DataFrame:
@@ -114,6 +221,12 @@ def cross_products(frame: DataFrame, designs: list[Design], weights: Weights) ->
         for pdf in batches:
             w = weights.matrix(pdf["h"].to_numpy()).astype(float)
             for d in designs:
+                if d.width() > WIDE:
+                    columns, values, y, _ = d.entries(pdf)
+                    q = d.width() + 2
+                    columns = np.column_stack([columns, np.full(len(y), q - 1)])
+                    yield from _sparse(d.pos, [_pairs(columns, np.column_stack([values, y]), q)], [w])
+                    continue
                 x, y, ok = d.rows(pdf)
                 z = np.column_stack([ok.astype(float), x, y])
                 part = _moments(z, w)
@@ -149,9 +262,53 @@ def _least_squares(tri: np.ndarray, d: Design) -> tuple:
     b = inverse @ right
     dof = n - use.sum() - 1
     left_over = max(s[p, p] - b @ right, 0.0)
+    return _coefficients(n, b, np.diag(inverse), dof, left_over, sd, live, wanted, d)
+
+
+def _wide_least_squares(k: np.ndarray, s: np.ndarray, d: Design) -> tuple:
+    """The same as `_least_squares` from the sums that are not 0."""
+    p = d.width()
+    q = p + 2
+    i, j = _unpack(k, q)
+    first, last, diag = np.zeros(q), np.zeros(q), np.zeros(q)
+    first[j[i == 0]], last[i[j == q - 1]], diag[i[i == j]] = s[i == 0], s[j == q - 1], s[i == j]
+    n = first[0]
+    if n < 3:
+        return n, None, None, None, "too_few_complete_cases_for_regression"
+    spread = (diag - first**2 / n)[1 : p + 1]
+    live = np.flatnonzero(spread > 1e-12 * diag[1 : p + 1])
+    if len(live) == 0:
+        return n, None, None, None, "all_predictor_columns_constant"
+    wanted = d.is_predictor()[live]
+    if not wanted.any():
+        return n, None, None, None, "no_predictor_columns_in_design_matrix"
+    sd = np.sqrt(spread[live])
+    keep, block, scale = np.zeros(p + 1, bool), np.zeros(p + 1, bool), np.ones(p + 1)
+    keep[0], keep[live + 1], scale[0], scale[live + 1] = True, True, np.sqrt(n), sd
+    lo, hi = d.block()
+    block[lo + 1 : hi + 1] = True
+    inner = j <= p
+    arrow = Arrow(i[inner], j[inner], s[inner], keep, block, scale, 1e-12)
+    right = np.zeros(p + 1)
+    right[live + 1] = (last - first * last[0] / n)[live + 1] / sd
+    null = np.linalg.qr(arrow.null[live + 1])[0]
+
+    def plain(x):  # least norm among the columns without the intercept
+        return x - null @ (null.T @ x)
+
+    b = plain(arrow.solve(right)[live + 1])
+    lifted = np.zeros((p + 1, null.shape[1]))
+    lifted[live + 1] = null
+    g_null = arrow.solve(lifted)[live + 1]
+    size = arrow.diagonal(p + 1)[live + 1] - 2 * (g_null * null).sum(1) + ((null @ (null.T @ g_null)) * null).sum(1)
+    left_over = max(diag[q - 1] - last[0] ** 2 / n - b @ right[live + 1], 0.0)
+    return _coefficients(n, b, size, n - (len(live) - null.shape[1]) - 1, left_over, sd, live, wanted, d)
+
+
+def _coefficients(n, b, size, dof, left_over, sd, live, wanted, d: Design) -> tuple:
     b_raw = b / sd * (d.outcome.scale / d.scales()[live])
     if dof > 0:
-        se = np.sqrt(left_over / dof * np.diag(inverse))
+        se = np.sqrt(left_over / dof * size)
         with np.errstate(divide="ignore", invalid="ignore"):
             t2 = np.where(se > 0, (b / se) ** 2, np.inf)
         pv = np.array([t_two_sided(dof / (dof + v), dof) if np.isfinite(v) else 0.0 for v in t2])
@@ -174,7 +331,11 @@ def least_squares(frame: DataFrame, designs: list[Design], weights: Weights) ->
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
         pos, rep = int(group["pos"].iloc[0]), int(group["rep"].iloc[0])
-        found = _least_squares(group.sort_values("k")["s"].to_numpy(), by_pos[pos])
+        d = by_pos[pos]
+        if d.width() > WIDE:
+            found = _wide_least_squares(group["k"].to_numpy(np.int64), group["s"].to_numpy(), d)
+        else:
+            found = _least_squares(group.sort_values("k")["s"].to_numpy(), d)
         return pd.DataFrame([(pos, rep, *found)], columns=["pos", "rep", "n", "effect", "p_value", "main_column", "note"])
 
     return cross_products(frame, designs, weights).groupBy("pos", "rep").applyInPandas(solve, RESULT)
@@ -263,6 +424,13 @@ def _column_sums(frame: DataFrame, designs: list[Design], weights: Weights) -> D
         for pdf in batches:
             w = weights.matrix(pdf["h"].to_numpy()).astype(float)
             for d in designs:
+                if d.width() > WIDE:
+                    columns, values, y, _ = d.entries(pdf)
+                    size, at = d.width() + 1, np.repeat(np.arange(len(y)), columns.shape[1])
+                    own = np.arange(len(y))
+                    parts = [(columns.ravel(), values.ravel(), at), (size + columns.ravel(), values.ravel() ** 2, at), (np.full(len(y), 2 * size), y, own)]
+                    yield from _sparse(d.pos, parts, [w, w, w])
+                    continue
                 x, y, ok = d.rows(pdf)
                 z = np.column_stack([ok.astype(float), x])
                 part = np.vstack([z.T @ w, (z * z).T @ w, y @ w])
@@ -276,6 +444,24 @@ def _column_sums(frame: DataFrame, designs: list[Design], weights: Weights) -> D
 STEP = "pos int, rep int, step array<double>, spread array<double>"
 
 
+def _wide_step(k: np.ndarray, s: np.ndarray, keep: np.ndarray, block: tuple[int, int]) -> tuple:
+    """Step and diagonal of the inverse from the sums that are not 0; (None, None) if the system is singular."""
+    p = len(keep)
+    gradient, inside = np.zeros(p), np.zeros(p, bool)
+    gradient[k[k < p]] = s[k < p]
+    inside[block[0] + 1 : block[1] + 1] = True
+    i, j = _unpack(k[k >= p] - p, p)
+    own = np.zeros(p)
+    own[i[i == j]] = s[k >= p][i == j]
+    if own[keep].min() <= 1e-15 * own[keep].max():
+        return None, None
+    arrow = Arrow(i, j, s[k >= p], keep, inside, np.ones(p), 1e-15)
+    spread = arrow.diagonal(p)[keep]
+    if arrow.null.shape[1] or not np.isfinite(spread).all():
+        return None, None
+    return arrow.solve(gradient)[keep].tolist(), spread.tolist()
+
+
 def _newton_steps(frame, designs, weights, beta, moving, live) -> list:
     """Newton step and diagonal of the inverse curvature, per hypothesis and replicate still moving.
 
@@ -283,12 +469,22 @@ def _newton_steps(frame, designs, weights, beta, moving, live) -> list:
     """
     coefs = {d.pos: beta[d.pos].copy() for d in designs}
     active = {d.pos: np.flatnonzero(moving[d.pos]) for d in designs}
+    blocks = {d.pos: d.block() for d in designs}
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[int, np.ndarray] = {}
         for pdf in batches:
             w_all = weights.matrix(pdf["h"].to_numpy()).astype(float)
             for d in designs:
+                if d.width() > WIDE:
+                    columns, values, y, ok = d.entries(pdf)
+                    size, at = d.width() + 1, np.repeat(np.arange(len(y)), columns.shape[1])
+                    w = w_all[:, active[d.pos]] * ok[:, None]
+                    eta = np.column_stack([(values * coefs[d.pos][columns, r]).sum(1) for r in active[d.pos]])
+                    mu = 1.0 / (1.0 + np.exp(-np.clip(eta, -500, 500)))
+                    keys, products, rows = _pairs(columns, values, size)
+                    yield from _sparse(d.pos, [(columns.ravel(), values.ravel(), at), (size + keys, products, rows)], [w * (y[:, None] - mu), w * mu * (1.0 - mu)])
+                    continue
                 x, y, ok = d.rows(pdf)
                 z = np.column_stack([ok.astype(float), x])
                 w = w_all[:, active[d.pos]] * ok[:, None]
@@ -301,6 +497,9 @@ def _newton_steps(frame, designs, weights, beta, moving, live) -> list:
     def solve(group: pd.DataFrame) -> pd.DataFrame:
         pos, nth = int(group["pos"].iloc[0]), int(group["rep"].iloc[0])
         rep, p = int(active[pos][nth]), len(coefs[pos])
+        if p - 1 > WIDE:
+            step, spread = _wide_step(group["k"].to_numpy(np.int64), group["s"].to_numpy(), np.concatenate([[True], live[pos][:, rep]]), blocks[pos])
+            return pd.DataFrame([(pos, rep, step, spread)], columns=["pos", "rep", "step", "spread"])
         vec = group.sort_values("k")["s"].to_numpy()
         keep = np.concatenate([[True], live[pos][:, rep]])
         h = _square(vec[p:], p)[np.ix_(keep, keep)]

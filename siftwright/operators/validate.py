@@ -26,6 +26,8 @@ from siftwright.plans.together import together
 
 PAIRWISE = ["pearsonr", "spearmanr", "mannwhitneyu", "kruskal", "chi2"]
 REGRESSIONS = ["linear_regression", "logistic_regression"]
+#: Levels of a regression's column that are coded by a join; fewer by an expression.
+JOINED_LEVELS = 1_000
 RESULT = (
     "pos int, testable boolean, n bigint, observed_test string, effect double, effect_name string, "
     "p_value double, main_predictor_column string, notes string"
@@ -41,8 +43,6 @@ class ValidationConfig:
     effect_pass_rate_min: float = 0.70
     weights: str = "poisson"
     strict_parity: bool = False
-    # A design wider than this is reported as not testable rather than solved on one machine.
-    max_design_columns: int = 2_000
 
 
 # ---- pre-filter ---------------------------------------------------------------------------------
@@ -298,27 +298,17 @@ class Bench:
         for c in text:
             coded = coded.withColumn(self.txt(c), F.coalesce(F.col(self.txt(c)), F.lit("nan")))
         levels: dict[str, tuple[str, ...]] = {}
-        too_wide: set[str] = set()
         if text:
-            sizes = {r["cid"]: r["count"] for r in V.text_counts(coded, [(i, self.txt(c)) for i, c in enumerate(text)]).groupBy("cid").count().collect()}
-            too_wide = {c for i, c in enumerate(text) if sizes.get(i, 0) > self.cfg.max_design_columns}
-            narrow = [c for c in text if c not in too_wide]
-            exprs = {i: F.col(self.txt(c)) for i, c in enumerate(narrow)}
             found: dict[int, list[str]] = {}
-            if narrow:
-                for r in V.melt(coded, exprs, "level").groupBy("cid", "level").count().collect():
-                    found.setdefault(r["cid"], []).append(r["level"])
-            levels = {c: tuple(sorted(found.get(i, []))) for i, c in enumerate(narrow)}
+            for r in V.melt(coded, {i: F.col(self.txt(c)) for i, c in enumerate(text)}, "level").groupBy("cid", "level").count().collect():
+                found.setdefault(r["cid"], []).append(r["level"])
+            levels = {c: tuple(sorted(found.get(i, []))) for i, c in enumerate(text)}
         moments = {}
         if numbers:
             row = self.frame.agg(*[f(F.col(self.num(c))).alias(f"{tag}_{self.num(c)}") for c in numbers for tag, f in (("m", F.avg), ("d", F.stddev_pop), ("a", F.min), ("b", F.max))]).first()
             moments = {c: tuple(row[f"{t}_{self.num(c)}"] for t in "mdab") for c in numbers}
         linear, logit, faults = [], [], []
         for s in specs:
-            used = (s.outcome, *s.predictors, *s.controls)
-            if any(c in too_wide for c in used):
-                faults.append((s.pos, "design_matrix_too_wide"))
-                continue
             terms = []
             for c in (*s.predictors, *s.controls):
                 if c in self.numeric:
@@ -351,7 +341,13 @@ class Bench:
                 target = Term(f"c{self.at[y]}", y)
             logit.append(Design(s.pos, target, tuple(terms), s.predictors, self.cfg.strict_parity))
         keep = [F.col(self.num(c)) for c in numbers]
-        keep += [level_code(self.txt(c), list(levels[c])).cast("double").alias(f"c{self.at[c]}") for c in text if levels.get(c)]
+        for c in text:
+            if len(levels[c]) > JOINED_LEVELS:
+                codes = small_frame(coded.sparkSession, list(zip(levels[c], map(float, range(len(levels[c]))))), f"l{self.at[c]} string, c{self.at[c]} double")
+                coded = coded.join(codes, F.col(self.txt(c)) == F.col(f"l{self.at[c]}"), "left")
+                keep.append(F.col(f"c{self.at[c]}"))
+            elif levels[c]:
+                keep.append(level_code(self.txt(c), list(levels[c])).cast("double").alias(f"c{self.at[c]}"))
         return linear, logit, coded.select("rid", *keep), faults
 
     def regressions(self, weights: Weights, only: set[int] | None = None) -> DataFrame | None:
