@@ -114,3 +114,47 @@ def mixed(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0xC4CEB9FE1A85EC53)
     x ^= x >> np.uint64(33)
     return x
+
+
+_BLANK = np.zeros(256, bool)
+_BLANK[[32, 9, 10, 11, 12, 13]] = True
+
+
+class Words:
+    """The words of a piece of texts: the bytes of all texts, and where each word starts and ends in them."""
+
+    def __init__(self, data: bytes, offsets: np.ndarray):
+        self.data, self.offsets = data, offsets
+        word = np.ones(len(data) + 2, bool)
+        word[0] = word[-1] = False
+        word[1:-1] = ~_BLANK[np.frombuffer(data, np.uint8)]
+        cut = offsets[:-1][(offsets[:-1] > 0) & (offsets[:-1] < len(data))]
+        cut = cut[word[cut] & word[cut + 1]]  # texts that meet without white space
+        edge = np.flatnonzero(word[1:] != word[:-1])
+        self.starts, self.ends = (np.sort(np.concatenate([e, np.unique(cut)])) if len(cut) else e for e in (edge[::2], edge[1::2]))
+        self.first = np.searchsorted(self.starts, offsets)
+
+    def text(self, i: int) -> bytes:
+        return self.data[self.offsets[i]:self.offsets[i + 1]]
+
+    def ends_of(self, i: int) -> np.ndarray:
+        """Ends of the words of text `i`, counted from its start."""
+        return self.ends[self.first[i]:self.first[i + 1]] - self.offsets[i]
+
+    def counts(self) -> np.ndarray:
+        return np.diff(self.first)
+
+    def codes(self) -> tuple[np.ndarray, pa.Array]:
+        """An integer per word, equal for equal words, and the distinct words. No word becomes a Python object."""
+        raw = np.frombuffer(self.data, np.uint8)
+        sizes = np.concatenate([[0], np.cumsum(self.ends - self.starts)]).astype(np.int64)
+        packed = raw[~_BLANK[raw]].tobytes()
+        found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes) - 1, [None, pa.py_buffer(sizes), pa.py_buffer(packed)]).dictionary_encode()
+        return np.asarray(found.indices, np.int64), found.dictionary
+
+
+def words_in(column: pa.Array) -> Words:
+    """`Words` of a text column, null as empty."""
+    texts = column_bytes(column)
+    offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))]).astype(np.int64)
+    return Words(b"".join(texts), offsets)
