@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwright.llm import byte_bpe, embed_dedup, exact_topk, fill_in_middle, html_main, language_id, mixing, periodic_runs, sharding, simhash, substring, url_rules
+from siftwright.llm import byte_bpe, embed_dedup, exact_topk, fill_in_middle, html_main, language_id, mixing, periodic_runs, sharding, simhash, substring, toxicity, url_rules
 from siftwright.llm.common import WORD, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -109,9 +109,16 @@ def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", *[f"fim.{c}" for c in ("n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")])
 
 
+def op13_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Probability that a text is toxic."""
+    docs = table(spark, folder, "documents")
+    model = toxicity.train(docs, table(spark, folder, "labels"))
+    return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_mix_sources, op2_substring_dedup, op3_shards, op4_byte_bpe, op5_embedding_dedup, op6_url_rules, op7_language_id, op8_html_main, op9_simhash_dedup, op10_exact_topk,
-    op11_periodic_runs, op12_fill_in_middle,
+    op11_periodic_runs, op12_fill_in_middle, op13_toxicity,
 )}
 
 ORACLES = {
