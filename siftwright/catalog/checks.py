@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siftwright import schemas
 from siftwright.catalog.base import PART_LINKS, SALES, digits, fdr_sql, part_links, query, sales, table
-from siftwright.catalog.pairs import kruskal_sql, mwu_sql
+from siftwright.catalog.pairs import correlation_p_sql, kruskal_sql, mwu_sql
 from siftwright.functions.weights import GOLDEN, MIX_1, MIX_2, POISSON_CDF, Weights, row_hash
 from siftwright.operators import bootstrap as B
 from siftwright.operators import intake, validate as C
@@ -150,6 +150,38 @@ def _(spark, sf):
     return C.Bench(d, specs, "doc_id", C.ValidationConfig()).results()
 
 
+#: Rounds of subtracting the means of two categories in turn; each leaves about half of what the last one left.
+TURNS = 60
+KEYED = "lines AS (SELECT l_tax::DOUBLE AS y, l_discount::DOUBLE AS x, l_extendedprice::DOUBLE AS price, l_orderkey::VARCHAR AS okey, l_partkey::VARCHAR AS pkey FROM lineitem)"
+SLOPE = "count(*)::BIGINT AS n, sum(x * y) / sum(x * x) AS slope, sum(x * y) / sqrt(sum(x * x) * sum(y * y)) AS r"
+
+
+@query("ols_wide", f"""WITH RECURSIVE {KEYED},
+one AS (SELECT {SLOPE} FROM (SELECT x - avg(x) OVER (PARTITION BY okey) AS x, y - avg(y) OVER (PARTITION BY okey) AS y FROM lines)),
+turns AS (SELECT 0 AS turn, x, y, okey, pkey FROM lines
+  UNION ALL SELECT turn + 1, x - avg(x) OVER w, y - avg(y) OVER w, okey, pkey FROM turns WHERE turn < {TURNS} WINDOW w AS (PARTITION BY CASE WHEN turn % 2 = 0 THEN okey ELSE pkey END)),
+two AS (SELECT {SLOPE} FROM turns WHERE turn = {TURNS}),
+sizes AS (SELECT count(DISTINCT okey) AS orders, count(DISTINCT pkey) AS parts FROM lines),
+slopes AS (SELECT 0 AS pos, one.*, n - orders - 1 AS dof FROM one, sizes UNION ALL SELECT 1, two.*, n - orders - parts FROM two, sizes),
+means AS (SELECT okey, avg(price) AS m, count(*) AS k, sum(count(*)) OVER () AS n, sum(var_pop(price) * count(*)) OVER () / (sum(count(*)) OVER () - count(*) OVER ()) AS s2, sum(count(*)) OVER () - count(*) OVER () AS dof,
+  first(avg(price)) OVER (ORDER BY okey) AS base, first(count(*)) OVER (ORDER BY okey) AS base_k FROM lines GROUP BY okey),
+best AS (SELECT *, (m - base) / sqrt(s2 * (1.0 / k + 1.0 / base_k)) AS t FROM means WHERE okey > (SELECT min(okey) FROM means) ORDER BY abs(t) DESC, okey LIMIT 1),
+found AS (SELECT pos, n, slope AS coef, 'l_discount' AS main, r AS effect, dof FROM slopes UNION ALL SELECT 2, n::BIGINT, m - base, 'okey_' || okey, t / sqrt(t * t + dof), dof FROM best)
+SELECT pos::INTEGER AS pos, n_rows AS n, round(coef, 6) AS effect, round(p_value, 9) AS p_value, main AS main_predictor_column, '' AS notes
+FROM ({correlation_p_sql("SELECT pos, n AS n_rows, coef, main, effect, (dof + 2)::BIGINT AS n FROM found")})""")
+def _(spark, sf):
+    """Least squares with one and with two categories of thousands of levels as controls, and with one as predictor."""
+    li = table(spark, sf, "lineitem")
+    lines = li.select("l_tax", "l_discount", "l_extendedprice", F.col("l_orderkey").cast("string").alias("okey"), F.col("l_partkey").cast("string").alias("pkey"))
+    specs = [
+        C.Spec(0, "linear_regression", "l_tax", ("l_discount",), ("okey",)),
+        C.Spec(1, "linear_regression", "l_tax", ("l_discount",), ("okey", "pkey")),
+        C.Spec(2, "linear_regression", "l_extendedprice", ("okey",), ()),
+    ]
+    out = C.Bench(lines, specs, None, C.ValidationConfig()).results()
+    return out.select("pos", "n", F.round("effect", 6).alias("effect"), F.round("p_value", 9).alias("p_value"), "main_predictor_column", "notes")
+
+
 # ---- resampling ---------------------------------------------------------------------------------
 
 MOD = 2**64

@@ -55,6 +55,10 @@ class Weights:
 
     MAX_INDEX_ROWS = 100_000
 
+    def count(self) -> int:
+        """Replicates that `matrix` has columns for."""
+        return 1 if self.kind == "ones" else self.reps
+
     def base(self, key: Column) -> Column:
         return key.cast("bigint") if self.kind == "index" else row_hash(key, self.seed)
 

@@ -17,10 +17,11 @@ from siftwright.operators.fdr import EffectLimits, adjust, adjust_large
 from siftwright.operators.intake import _listed
 from siftwright.operators.moments import correlations
 from siftwright.operators.ranks import pair_rank_correlation, pair_rank_sums
-from siftwright.operators.regression import Design, Term, least_squares, logistic
+from siftwright.operators.regression import CODED, Design, Term, least_squares, logistic
 from siftwright.operators.screen import (
     cell_counts, contingency, level_code, pair_sums, rank_anova, two_group_effect, variance_share,
 )
+from siftwright.plans.lookup import attach
 from siftwright.plans.materialize import pin, small_frame, with_row_id
 from siftwright.plans.together import together
 
@@ -120,6 +121,24 @@ def rejections(checked: DataFrame) -> DataFrame:
 # ---- the tests ----------------------------------------------------------------------------------
 
 
+def level_codes(levels: DataFrame) -> DataFrame:
+    """(cid, level, n, code): levels of each column numbered from 0 in their order, without bringing them to one place.
+
+    They are sorted by ranges and written with running ids; the driver sees where the ids of each range begin.
+    """
+    at = "at"
+    placed = pin(levels.repartitionByRange("cid", "level").sortWithinPartitions("cid", "level").withColumn(at, F.monotonically_increasing_id()))
+    part = F.shiftright(at, 33)
+    ranges = placed.groupBy("cid", part.alias("part")).agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).orderBy("cid", "part").collect()
+    shifts, before = [], {}
+    for r in ranges:
+        shifts.append((r["cid"], r["part"], before.get(r["cid"], 0) - r["first"]))
+        before[r["cid"]] = before.get(r["cid"], 0) + r["n"]
+    shift = small_frame(levels.sparkSession, shifts, "cid int, part bigint, shift bigint")
+    joined = placed.withColumn("part", part).join(F.broadcast(shift), ["cid", "part"])
+    return pin(joined.select("cid", "level", "n", (F.col(at) + F.col("shift")).alias("code")))
+
+
 @dataclass(frozen=True)
 class Spec:
     pos: int
@@ -298,11 +317,20 @@ class Bench:
         for c in text:
             coded = coded.withColumn(self.txt(c), F.coalesce(F.col(self.txt(c)), F.lit("nan")))
         levels: dict[str, tuple[str, ...]] = {}
+        sizes: dict[str, int] = {}
+        self.coded: dict[str, DataFrame] = {}
         if text:
-            found: dict[int, list[str]] = {}
-            for r in V.melt(coded, {i: F.col(self.txt(c)) for i, c in enumerate(text)}, "level").groupBy("cid", "level").count().collect():
-                found.setdefault(r["cid"], []).append(r["level"])
-            levels = {c: tuple(sorted(found.get(i, []))) for i, c in enumerate(text)}
+            found = pin(V.melt(coded, {i: F.col(self.txt(c)) for i, c in enumerate(text)}, "level").groupBy("cid", "level").agg(F.count(F.lit(1)).alias("n")))
+            count = {r["cid"]: r["n"] for r in found.groupBy("cid").agg(F.count(F.lit(1)).alias("n")).collect()}
+            sizes = {c: count.get(i, 0) for i, c in enumerate(text)}
+            named: dict[int, list[str]] = {}
+            few = [i for i, c in enumerate(text) if sizes[c] <= JOINED_LEVELS]
+            for r in found.filter(F.col("cid").isin(few)).collect():
+                named.setdefault(r["cid"], []).append(r["level"])
+            levels = {text[i]: tuple(sorted(named.get(i, []))) for i in few}
+            if len(few) < len(text):
+                codes = level_codes(found.filter(~F.col("cid").isin(few)))
+                self.coded = {c: codes.filter(F.col("cid") == i).drop("cid") for i, c in enumerate(text) if c not in levels}
         moments = {}
         if numbers:
             row = self.frame.agg(*[f(F.col(self.num(c))).alias(f"{tag}_{self.num(c)}") for c in numbers for tag, f in (("m", F.avg), ("d", F.stddev_pop), ("a", F.min), ("b", F.max))]).first()
@@ -314,8 +342,8 @@ class Bench:
                 if c in self.numeric:
                     m, d, *_ = moments[c]
                     terms.append(Term(self.num(c), c, (), m or 0.0, d if d else 1.0))
-                elif len(levels[c]) > 1:
-                    terms.append(Term(f"c{self.at[c]}", c, levels[c]))
+                elif sizes[c] > 1:
+                    terms.append(Term(f"c{self.at[c]}", c, levels.get(c, ()), coded=0 if c in levels else sizes[c]))
             if not terms:
                 faults.append((s.pos, "empty_design_matrix"))
                 continue
@@ -334,7 +362,7 @@ class Bench:
                     faults.append((s.pos, "logistic_regression_requires_binary_outcome"))
                     continue
                 target = Term(self.num(y), y, (), low, high - low)
-            elif len(levels[y]) != 2:
+            elif sizes[y] != 2:
                 faults.append((s.pos, "non_numeric_outcome_not_binary"))
                 continue
             else:
@@ -342,9 +370,9 @@ class Bench:
             logit.append(Design(s.pos, target, tuple(terms), s.predictors, self.cfg.strict_parity))
         keep = [F.col(self.num(c)) for c in numbers]
         for c in text:
-            if len(levels[c]) > JOINED_LEVELS:
-                codes = small_frame(coded.sparkSession, list(zip(levels[c], map(float, range(len(levels[c]))))), f"l{self.at[c]} string, c{self.at[c]} double")
-                coded = coded.join(codes, F.col(self.txt(c)) == F.col(f"l{self.at[c]}"), "left")
+            if c in self.coded:
+                codes = self.coded[c].select(F.col("level").alias(self.txt(c)), "n", F.col("code").cast("double").alias(f"c{self.at[c]}"))
+                coded = attach(coded, codes, [self.txt(c)], "n")
                 keep.append(F.col(f"c{self.at[c]}"))
             elif levels[c]:
                 keep.append(level_code(self.txt(c), list(levels[c])).cast("double").alias(f"c{self.at[c]}"))
@@ -376,7 +404,16 @@ class Bench:
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
-        return out
+        return self._with_names(out) if self.coded else out
+
+    def _with_names(self, fitted: DataFrame) -> DataFrame:
+        """Names of levels that solvers know by their codes only."""
+        names = None
+        for c, codes in self.coded.items():
+            mine = codes.select(F.concat(F.lit(f"{CODED}{c}{CODED}"), F.col("code").cast("string")).alias("main_column"), F.concat(F.lit(f"{c}_"), "level").alias("named"))
+            names = mine if names is None else names.unionByName(mine)
+        fitted = pin(fitted)  # one row per hypothesis and replicate
+        return fitted.join(names, "main_column", "left").withColumn("main_column", F.coalesce("named", "main_column")).select(*fitted.columns)
 
     # -- resampling
 
