@@ -12,6 +12,7 @@ from siftwright import schemas
 from siftwright.functions.tails import chi2_p, correlation_p, mann_whitney_p
 from siftwright.operators import frequency as V
 from siftwright.operators.fdr import EffectLimits, correct
+from siftwright.operators.groups import level_sums, pair_tables
 from siftwright.operators.moments import correlations
 from siftwright.operators.ranks import pair_rank_correlation, pair_rank_sums, rank_rows
 from siftwright.plans.materialize import pin, small_frame, with_row_id
@@ -62,6 +63,8 @@ class Plan:
     total: int
     nulls: dict[str, int]
     levels: dict[str, int]
+    #: Sorted levels of the categories that have no more than the cap.
+    lists: dict[str, list[str]] = field(default_factory=dict)
 
     def clean(self, *cols: str) -> bool:
         return all(self.nulls[c] == 0 for c in cols)
@@ -93,10 +96,24 @@ def level_lists(df: DataFrame, cats: list[str]) -> dict[str, list[str]]:
 
 
 def level_code(column: str, levels: list[str]) -> Column:
-    """Position of a row's level in the sorted list, 0-based."""
+    """Position of a row's level in the sorted list, 0-based; NULL stays NULL."""
     return F.array_position(F.array(*[F.lit(v) for v in levels]), F.col(f"`{column}`").cast("string")) - 1
 
 
+def _coded(plan: Plan, cats: list[str]) -> tuple[dict[str, int], dict[int, tuple[Column, int]]]:
+    """Numbers for categories, and the code column and number of levels of each."""
+    ids = {c: i for i, c in enumerate(cats)}
+    return ids, {i: (level_code(c, plan.lists[c]), len(plan.lists[c])) for c, i in ids.items()}
+
+
+def _named(sums: DataFrame, plan: Plan, pairs: list, cat_ids: dict[str, int], num_ids: dict[str, int]) -> DataFrame:
+    """Rows of `level_sums` that belong to a pair, with its number and the level as text."""
+    spark = sums.sparkSession
+    link = small_frame(spark, [(p, cat_ids[b], num_ids[a]) for p, a, b in pairs], "pos int, cat int, num int")
+    names = small_frame(spark, [(i, k, v) for c, i in cat_ids.items() for k, v in enumerate(plan.lists[c])], "cat int, code int, level string")
+    return sums.join(F.broadcast(link), ["cat", "num"]).join(F.broadcast(names), ["cat", "code"])
+
+
 def _pairs_frame(spark, rows: list[tuple]) -> DataFrame:
     return F.broadcast(small_frame(spark, rows, "pos int, var1 string, var2 string"))
 
@@ -285,6 +302,7 @@ def screen(
     slim = df.select(*keep, *[V.as_double(c).alias(c) for c in numeric], *[F.col(f"`{c}`").cast("string").alias(c) for c in cats])
     slim = with_row_id(slim, key)
     plan = survey(slim, numeric, cats, facts)
+    plan.lists = level_lists(slim, [c for c in cats if plan.levels[c] <= cfg.max_categories])
 
     pos, num_num, num_cat, cat_cat = 0, [], [], []
     for a, b in combinations(numeric, 2):
@@ -377,16 +395,14 @@ def _ranked_pairs(slim: DataFrame, plan: Plan, cfg: ScreenConfig, num_num: list,
     if fast_nn or fast_nc:
         used = [c for c in plan.numeric if any(c in p[1:] for p in fast_nn + fast_nc)]
         cats = [c for c in plan.cats if any(c == p[2] for p in fast_nc)]
-        lists = level_lists(slim, cats)
         ids = {c: i for i, c in enumerate(used)}
-        cat_ids = {c: i for i, c in enumerate(cats)}
-        table, tie_sums = rank_rows(
-            slim, {i: c for c, i in ids.items()}, {i: level_code(c, lists[c]) for c, i in cat_ids.items()}
-        )
+        cat_ids, codes = _coded(plan, cats)
+        table, tie_sums = rank_rows(slim, {i: c for c, i in ids.items()}, {k: code for k, (code, _) in codes.items()})
         if fast_nn:
             rhos.append(correlations(table, [(p, f"r{ids[a]}", f"r{ids[b]}") for p, a, b in fast_nn]))
         if fast_nc:
-            sums.append(_rank_sums(table, fast_nc, ids, cat_ids, lists))
+            got = level_sums(table, {k: (F.col(f"g{k}"), size) for k, (_, size) in codes.items()}, {ids[a]: F.col(f"r{ids[a]}") for _, a, _ in fast_nc})
+            sums.append(_named(got, plan, fast_nc, cat_ids, ids).select("pos", "level", "n_g", F.col("s").alias("rank_sum")))
             link = small_frame(spark, [(p, ids[a]) for p, a, _ in fast_nc], "pos int, cid int")
             ties.append(tie_sums.join(F.broadcast(link), "cid").select("pos", "ties"))
     if slow_nn:
@@ -419,7 +435,7 @@ def _ranked_pairs(slim: DataFrame, plan: Plan, cfg: ScreenConfig, num_num: list,
         many = rank_anova(groups, tied).filter(testable & (F.col("k") > 2))
         wide = [p for p in grouped if plan.levels[p[2]] > 2]
         if wide:
-            many = many.join(variance_share(pair_sums(slim, wide)), "pos")
+            many = many.join(variance_share(_value_sums(slim, plan, wide)), "pos")
             parts.append(_rows_of(
                 names, many, type="num_cat", relationship="group_difference", test="kruskal",
                 effect=F.col("eta2"), effect_name="eta2_approx",
@@ -428,22 +444,17 @@ def _ranked_pairs(slim: DataFrame, plan: Plan, cfg: ScreenConfig, num_num: list,
     return parts
 
 
-def _rank_sums(table: DataFrame, pairs: list, ids: dict, cat_ids: dict, lists: dict) -> DataFrame:
-    """(pos, level, n_g, rank_sum) from a rank table: one aggregate per category column."""
-    parts = []
-    for cat in cat_ids:
-        members = [(p, ids[a]) for p, a, c in pairs if c == cat]
-        code = f"g{cat_ids[cat]}"
-        names = F.array(*[F.lit(v) for v in lists[cat]])
-        for k in range(0, len(members), WIDTH):
-            chunk = members[k : k + WIDTH]
-            wide = table.groupBy(code).agg(
-                F.count(F.lit(1)).alias("n_g"), *[F.sum(f"r{cid}").alias(f"s{p}") for p, cid in chunk]
-            ).withColumn("level", F.get(names, F.col(code)))
-            structs = [
-                F.struct(F.lit(p).alias("pos"), "level", "n_g", F.col(f"s{p}").alias("rank_sum")) for p, _ in chunk
-            ]
-            parts.append(wide.select(F.inline(F.array(*structs))))
+def _value_sums(slim: DataFrame, plan: Plan, pairs: list) -> DataFrame:
+    """(pos, level, n_g, s, ss) of centred values: one scan for all categories within the cap, NULLs or not."""
+    listed = [p for p in pairs if p[2] in plan.lists]
+    rest = [p for p in pairs if p[2] not in plan.lists]  # over the cap, but not inside their complete cases
+    parts = [pair_sums(slim, rest)] if rest else []
+    if listed:
+        cat_ids, codes = _coded(plan, sorted({c for _, _, c in listed}))
+        num_ids = {c: i for i, c in enumerate(sorted({c for _, c, _ in listed}))}
+        means = slim.agg(*[F.avg(V.as_double(c)).alias(f"m{i}") for c, i in num_ids.items()]).first()
+        got = level_sums(slim, codes, {i: V.as_double(c) - F.lit(means[f"m{i}"] or 0.0) for c, i in num_ids.items()})
+        parts.append(_named(got, plan, listed, cat_ids, num_ids).select("pos", "level", "n_g", "s", "ss"))
     return _union(parts)
 
 
@@ -466,7 +477,13 @@ def _category_family(slim: DataFrame, plan: Plan, cfg: ScreenConfig, pairs: list
             for p, a, b, n, ka, kb in skipped
         ]))
     if keep:
-        cells = pin(cell_counts(slim, keep))
+        listed = [p for p in keep if p[1] in plan.lists and p[2] in plan.lists]
+        rest = [p for p in keep if not (p[1] in plan.lists and p[2] in plan.lists)]  # over the cap, but not inside their complete cases
+        found = [cell_counts(slim, rest)] if rest else []
+        if listed:
+            ids, codes = _coded(plan, sorted({c for p in listed for c in p[1:]}))
+            found.append(pair_tables(slim, codes, [(p, ids[a], ids[b]) for p, a, b in listed]).select("pos", F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), "o"))
+        cells = pin(_union(found))
         stats = contingency(cells, cfg).join(low_expected_share(cells, cfg), "pos").filter(
             (F.col("n") >= cfg.min_n) & (F.col("r") >= 2) & (F.col("c") >= 2)
         )
