@@ -4,8 +4,9 @@ Vectors are scaled to length one; equal vectors are one item. Leaders (a bounded
 inverted lists. What is left after subtracting the leader is coded in SUBSPACES parts of up to CODES codewords each, learned
 from the same sample. An item is stored in its nearest list and asks every list that a partner may
 lie in: a partner within the radius of the threshold lies in another list only if the bisector of the two
-leaders is that near, and of a deviation in no special direction a bisector sees radius / sqrt(dim); lists
-within SIGMAS of that are asked. In a list distances come from table look-ups. The length of the coding
+leaders is that near, which is a proof, and the bound for vectors that fill few dimensions. Of a deviation spread like the sample's
+residuals a bisector sees less, as much as their covariance has in its direction; lists within SIGMAS of that are
+asked, and never more than the proof needs. In a list distances come from table look-ups. The length of the coding
 error is kept per item, so by the triangle inequality no partner is lost there. Survivors get
 the exact cosine in double precision.
 """
@@ -28,7 +29,7 @@ from siftwright.llm.vectors import matrix, rows_of, usable
 THRESHOLD = 0.95
 #: Fitted on at most this many items, chosen by hash. Every item is indexed.
 SAMPLE_ROWS, MAX_LISTS = 8192, 2048
-SUBSPACES, CODES, SIGMAS = 8, 64, 4.5
+SUBSPACES, CODES, SIGMAS = 8, 64, 5.0
 #: Members of a list that one task compares with; longer lists are cut and their askers sent to every part.
 LIST_ROWS = 4096
 _PAIRS = 1 << 18
@@ -64,6 +65,9 @@ class Quantiser:
         rest = sample.astype(np.float32)
         rest = rest - self.leaders[self.nearest(rest)]
         self.books = [_kmeans(rest[:, p], CODES) for p in self.parts]
+        self.spread = (rest.T @ rest / max(1e-12, float((rest * rest).sum()))).astype(np.float32)
+        self._reach: np.ndarray | None = None
+        self._gaps: np.ndarray | None = None
 
     def nearest(self, x: np.ndarray) -> np.ndarray:
         return np.argmax(x @ self.leaders.T - (self.leaders * self.leaders).sum(1) / 2, axis=1)
@@ -77,14 +81,32 @@ class Quantiser:
             missed += ((sub - book[codes[:, m]]).astype(np.float64) ** 2).sum(1)
         return codes, np.sqrt(missed)
 
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("_reach", "_gaps")} | {"_reach": None, "_gaps": None}
+
+    def reach(self) -> np.ndarray:
+        """How far a partner can lie beyond each bisector: the radius, or SIGMAS of what residuals have in that direction."""
+        if self._reach is None:
+            mixed = self.leaders @ self.spread @ self.leaders.T
+            own = np.diag(mixed)
+            seen = np.sqrt(np.maximum(own[:, None] + own[None] - 2 * mixed, 0.0)) / self._between()
+            close = self._between() < 3 * self.radius  # leaders that may be partners themselves
+            self._reach = (self.radius * np.where(close, 1.0, np.minimum(1.0, SIGMAS * seen))).astype(np.float32)
+        return self._reach
+
+    def _between(self) -> np.ndarray:
+        norms = (self.leaders * self.leaders).sum(1)
+        return np.sqrt(np.maximum(norms[:, None] + norms[None] - 2 * self.leaders @ self.leaders.T, 1e-12))
+
     def asks(self, x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) of the lists after a row's own list that it must ask; the earlier lists ask it."""
         norms = (self.leaders * self.leaders).sum(1)
         far = norms - 2 * x @ self.leaders.T
         own_far = far[np.arange(len(x)), own][:, None]
-        between = np.sqrt(np.maximum(norms[own][:, None] + norms[None] - 2 * self.leaders[own] @ self.leaders.T, 1e-12))
-        margin = (far - own_far) / (2 * between)
-        near = margin <= SIGMAS * self.radius / np.sqrt(self.dim)
+        if self._gaps is None:
+            self._gaps = self._between().astype(np.float32)
+        margin = (far - own_far) / (2 * self._gaps[own])
+        near = margin <= self.reach()[own]
         row, other = np.nonzero(near & (np.arange(self.lists)[None] > own[:, None]))
         return row, other
 
