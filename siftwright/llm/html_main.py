@@ -20,7 +20,9 @@ from pyspark.sql import types as T
 from siftwright.llm.common import chunks, small_batches
 
 # HTML element names.
-RAW = ("script", "style", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "textarea", "select", "title", "xmp", "noembed", "noframes")
+RAW = ("script", "style", "title", "textarea", "xmp", "iframe", "noembed", "noframes")
+#: Elements whose content is seldom text of the page; one that is never closed counts as not opened.
+APART = ("noscript", "template", "svg", "object", "canvas", "select")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -38,7 +40,7 @@ SIBLINGS = {
 TAGS = {
     "article": 5.0, "main": 4.0, "nav": -12.0, "header": -7.0, "footer": -12.0, "aside": -10.0, "form": -12.0, "button": -10.0, "menu": -10.0,
     "dialog": -9.0, "head": -30.0, "label": -6.0, "legend": -6.0, "fieldset": -6.0, "p": 1.0, "blockquote": 1.0, "pre": 1.0, "h1": 1.5, "h2": 0.5, "h3": 0.5,
-    "figcaption": 0.5, "li": -0.5,
+    "figcaption": 0.5, "li": -0.5, "noscript": -12.0, "template": -30.0, "svg": -8.0, "object": -6.0, "canvas": -6.0, "select": -12.0,
 }
 NAMED = (
     (re.compile(r"(?:^|[-_\s])(?:comments?|commentlist|disqus|replies|reply|respond|discussion|reader[-_]?comments?)(?:$|[-_\s])"), -14.0),
@@ -60,6 +62,7 @@ _TAG = re.compile(
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _SPACE = re.compile(r"\s+")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for name in RAW}
+_APART_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in APART}
 _MEMO: dict[str, tuple[float, bool]] = {}
 
 
@@ -96,6 +99,7 @@ def blocks_of(page: str) -> list[tuple[str, float, int]]:
     # an open element: name, summed odds, container number, inside a link
     stack: list[tuple[str, float, int, bool]] = [("", BIAS, 0, False)]
     serial, now, at, n = 0, None, 0, len(page)
+    closed: dict[str, int] = {}
 
     def add(raw: str) -> None:
         nonlocal now
@@ -147,8 +151,10 @@ def blocks_of(page: str) -> list[tuple[str, float, int]]:
         closing, attributes = bool(found[1] or found[4]), found[3] or found[6] or ""
         if name in BLOCK:
             end()
+        if closing and name in _APART_END:
+            end()
         if closing:
-            if name == "p" or name in BLOCK:
+            if name == "p" or name in BLOCK or name in _APART_END:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i][0] == name:
                         del stack[i:]
@@ -168,6 +174,13 @@ def blocks_of(page: str) -> list[tuple[str, float, int]]:
             continue
         if name in VOID:
             continue
+        if name in _APART_END and closed.get(name, -1) < at:  # the next end tag of that name is looked for once
+            close = _APART_END[name].search(page, at)
+            closed[name] = close.start() if close else n + 1
+        if closed.get(name, 0) > n:
+            continue
+        if name in _APART_END:
+            end()
         if name in CLOSES_P:
             pop_to(("p",), ("button", "table", "td", "th", "div", "article", "section", "body", "li", "blockquote"))
         if name in SIBLINGS:
