@@ -8,8 +8,8 @@ down to about 1e-300.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -118,19 +118,47 @@ def normal_two_sided(z: float) -> float:
     return math.nan if z is None or math.isnan(z) else math.erfc(abs(z) / math.sqrt(2.0))
 
 
+@lru_cache(maxsize=None)
+def _bounded_sums(m: int) -> tuple[int, list[int]]:
+    """(L, c): the sums 1 x1 + ... + m xm up to k number sum over j of c[j] * binomial((k - j) / L + m, m), for j = k modulo L.
+
+    L is the least common multiple of 1..m, and c are the coefficients of the product of (1 - q^L) / (1 - q^i) for i = 1, 1, 2, ..., m.
+    """
+    step = math.lcm(*range(1, m + 1))
+    c = [1]
+    for i in (1, *range(1, m + 1)):
+        # times (1 - q^step), divided by (1 - q^i): running sums at distance i
+        c = c + [0] * step
+        for j in range(len(c) - 1, step - 1, -1):
+            c[j] -= c[j - step]
+        for j in range(i, len(c)):
+            c[j] += c[j - i]
+        while c and c[-1] == 0:
+            c.pop()
+    return step, c
+
+
+def _count_up_to(k: int, m: int) -> int:
+    if k < 0:
+        return 0
+    step, c = _bounded_sums(m)
+    return sum(c[j] * math.comb((k - j) // step + m, m) for j in range(k % step, min(k, len(c) - 1) + 1, step))
+
+
 def _u_exact_upper(u: int, n1: int, n2: int) -> float:
-    """P(U >= u) without ties: coefficients of the Gaussian binomial, scaled to probabilities."""
-    size = n1 * n2 + 1
-    p = np.zeros(size)
-    p[0] = 1.0
+    """P(U >= u) without ties, n1 <= 8. U is distributed like a partition into at most n1 parts of at most n2.
+
+    Inclusion and exclusion over the 2**n1 factors 1 - q^(n2 + i) of the numerator; whole numbers throughout, so the time does not depend on n2.
+    """
+    if n1 == 0:
+        return 1.0 if u <= 0 else 0.0
+    shifts = {0: 1}
     for i in range(1, n1 + 1):
-        step = n2 + i
-        num = p.copy()
-        num[step:] -= p[:-step] if step < size else 0.0
-        for r in range(i):
-            num[r::i] = np.cumsum(num[r::i])
-        p = num * (i / step)
-    return float(np.clip(p[u:].sum(), 0.0, 1.0))
+        for total, sign in list(shifts.items()):
+            shifts[total + n2 + i] = shifts.get(total + n2 + i, 0) - sign
+    below = n1 * n2 - u  # by symmetry
+    ways = sum(sign * _count_up_to(below - total, n1) for total, sign in shifts.items() if total <= below)
+    return min(1.0, ways / math.comb(n1 + n2, n1))
 
 
 def u_two_sided(u1: float, n1: float, n2: float, tie_sum: float) -> float:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwright.plans.lookup import attach
+from siftwright.plans.materialize import pin
 
 HASH_BITS = 60
 BUCKET_BITS = 18
@@ -67,19 +68,30 @@ def train_test_split(
 
 
 def allotments(strata: DataFrame, test_size: float) -> DataFrame:
-    """Test rows per stratum by largest remainder: (s, n, k) from (s, n); the total is exact."""
-    every = Window.partitionBy(F.lit(0))
-    share = (
-        strata.withColumn("total", F.sum("n").over(every))
-        .withColumn("want", test_count(F.col("total"), test_size))
-        .withColumn("ideal", F.col("n") * F.col("want") / F.col("total"))
-        .withColumn("base", F.floor("ideal"))
-        .withColumn("short", F.col("want") - F.sum("base").over(every))
-    )
-    by_rest = Window.orderBy((F.col("ideal") - F.col("base")).desc(), "s")
-    return share.withColumn("place", F.row_number().over(by_rest)).select(
-        "s", "n", (F.col("base") + (F.col("place") <= F.col("short")).cast("bigint")).alias("k")
-    )
+    """Test rows per stratum by largest remainder: (s, n, k) from (s, n); the total is exact.
+
+    Strata are sorted by ranges of their remainder; the driver sees how many each range holds, and only the range in which the last row
+    to give out falls is numbered. Then who gets one is a filter, for any number of strata.
+    """
+    total = strata.agg(F.sum("n").alias("n")).select("n", test_count(F.col("n"), test_size).alias("want")).first()
+    if not total["n"]:
+        return strata.select("s", "n", F.lit(0).cast("bigint").alias("k"))
+    ideal = F.col("n") * F.lit(total["want"]) / F.lit(total["n"])
+    share = strata.select("s", "n", F.floor(ideal).alias("base"), (ideal - F.floor(ideal)).alias("rest"))
+    share = pin(share.repartitionByRange(F.desc("rest"), F.asc("s")).sortWithinPartitions(F.desc("rest"), F.asc("s")).withColumn("pid", F.spark_partition_id()))
+    ranges = share.groupBy("pid").agg(F.count(F.lit(1)).alias("c"), F.sum("base").alias("given")).orderBy("pid").collect()
+    short = total["want"] - sum(r["given"] for r in ranges)
+    if short <= 0:
+        return share.select("s", "n", F.col("base").alias("k"))
+    seen = 0
+    for r in ranges:
+        if seen + r["c"] >= short:
+            break
+        seen += r["c"]
+    place = F.row_number().over(Window.partitionBy("pid").orderBy(F.desc("rest"), "s"))
+    last = share.filter(F.col("pid") == r["pid"]).withColumn("place", place).filter(F.col("place") == short - seen).first()
+    more = (F.col("rest") > last["rest"]) | ((F.col("rest") == last["rest"]) & (F.col("s") <= last["s"]))
+    return share.select("s", "n", (F.col("base") + more.cast("bigint")).alias("k"))
 
 
 def _stratified(hashed: DataFrame, key: str, test_size: float, stratify: str) -> DataFrame:

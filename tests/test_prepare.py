@@ -158,3 +158,25 @@ def test_csv_tokens_and_types(spark, tmp_path):
     df = read_csv(spark, str(tmp_path / "t.csv"), na_values=["?"])
     assert dict(df.dtypes) == {"a": "bigint", "b": "double", "c": "string", "d": "boolean"}
     assert [tuple(r) for r in df.collect()] == [(1, 1.5, "x", True), (2, None, None, False), (3, 2.0, None, None)]
+
+
+def test_allotments_of_a_million_strata(spark):
+    """Largest remainders against a plain sort; most strata tie, so their names decide."""
+    import math
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from siftwright.operators.split import allotments
+
+    strata = spark.range(1_000_000).select(F.concat(F.lit("s"), F.lpad(F.col("id").cast("string"), 7, "0")).alias("s"), (1 + F.col("id") % 5 * (F.col("id") % 2)).alias("n"))
+    got = allotments(strata.repartition(6), 0.3).toPandas().sort_values("s")
+    n = got["n"].to_numpy()
+    want = math.ceil(n.sum() * 0.3)
+    ideal = n * want / n.sum()
+    base = np.floor(ideal)
+    order = np.lexsort((np.arange(len(n)), -(ideal - base)))
+    more = np.zeros(len(n))
+    more[order[: int(want - base.sum())]] = 1
+    assert got["k"].sum() == want and (got["k"].to_numpy() == base + more).all()
+    assert allotments(strata.limit(0), 0.3).count() == 0

@@ -3,6 +3,7 @@
 import csv
 import glob
 import math
+import time
 from itertools import combinations
 
 import pytest
@@ -59,3 +60,37 @@ def test_recorded_correlation_p_values(recorded):
                 assert math.log(t.r_p_value(float(row["effect"]), float(row["n"]))) == pytest.approx(math.log(p), rel=1e-9, abs=1e-9)
                 seen += 1
     assert seen > 200
+
+
+def gaussian(n1, n2):
+    """Ways to each U, by the recurrence over the larger sample."""
+    ways = {0: [1]}
+    for m in range(1, n1 + 1):
+        ways[m] = [1]
+    for n in range(1, n2 + 1):
+        now = {0: [1]}
+        for m in range(1, n1 + 1):
+            out = [0] * (m * n + 1)
+            for i, w in enumerate(ways[m]):
+                out[i] += w
+            for i, w in enumerate(now[m - 1]):
+                out[i + n] += w
+            now[m] = out
+        ways = now
+    return ways[n1]
+
+
+@pytest.mark.parametrize("n1,n2", [(1, 1), (1, 60), (2, 31), (5, 40), (7, 8), (8, 8), (8, 70)])
+def test_exact_u_tail_against_the_recurrence(n1, n2):
+    ways = gaussian(n1, n2)
+    for u in range(0, n1 * n2 + 1, 7):
+        assert t._u_exact_upper(u, n1, n2) == pytest.approx(sum(ways[u:]) / sum(ways), rel=1e-14)
+
+
+def test_exact_u_tail_of_eight_against_very_many():
+    start = time.time()
+    n2 = 10**9
+    spread = math.sqrt(8 * n2 * (n2 + 9) / 12)
+    p = t.u_two_sided(8 * n2 / 2 + 1.5 * spread, 8.0, float(n2), 0.0)
+    assert time.time() - start < 1 and p == pytest.approx(math.erfc(1.5 / math.sqrt(2)), rel=0.05)
+    assert t.u_two_sided(8.0 * n2, 8.0, float(n2), 0.0) == pytest.approx(2 * math.factorial(8) / float(n2) ** 8, rel=1e-6)
