@@ -5,7 +5,8 @@ in a window that grows until it fits. A window fits when the tokens at each of i
 to itself. Every token of the vocabulary encodes to itself, and a token sequence all of whose neighbours are
 such pairs is the encoding of its bytes, so what lies outside the window can no longer change. Half pieces and
 token pairs are remembered, so most pieces cost a few look-ups. Texts are cut into pieces by the
-tokenizer's pattern, and between pieces joining is plain concatenation, as it is for decoding.
+tokenizer's pattern, and between pieces joining is plain concatenation. Decoding has no seams to mend: leaves of ids are
+looked up, and their bytes are concatenated up the tree.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ from pyspark.sql import types as T
 from siftwright.llm.common import chunks, small_batches
 
 LEAF, DIRECT = 4, 48
-#: Remembered pieces, halves and pairs per worker; beyond that the older half is forgotten.
-MEMO = 120_000
+#: Ids of one leaf of the decoding tree, and ids looked up together.
+DECODE_LEAF, LEAVES = 1 << 12, 1 << 18
+#: Remembered halves and pairs per worker, and remembered pieces; beyond that the older half is forgotten.
+MEMO, PIECES = 120_000, 500_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -143,7 +146,7 @@ class Pieces(dict):
         if packed is None:
             packed = np.array(self.merger.encode(piece.encode("utf-8", "surrogatepass")), np.int32).tobytes()
         if len(piece) <= 64:
-            if len(self) > MEMO // 2:
+            if len(self) > PIECES // 2:
                 self.older = dict(self)
                 self.clear()
             self[piece] = packed
@@ -170,15 +173,43 @@ def _vocabulary(ranks: dict[bytes, int]) -> pa.Array:
     return pa.array(tokens, pa.large_binary())
 
 
+def _leaf(ids: pa.Array, vocabulary: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """The bytes of some tokens side by side, and where each ends."""
+    taken = vocabulary.take(ids)
+    if not len(taken) or taken.buffers()[2] is None:
+        return memoryview(b""), np.zeros(len(taken), np.int64)
+    offsets = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset: taken.offset + len(taken) + 1]
+    return memoryview(taken.buffers()[2])[int(offsets[0]):int(offsets[-1])], offsets[1:] - offsets[0]
+
+
+def decode(ids: pa.Array, vocabulary: pa.Array) -> bytes:
+    """Bytes of a run of ids: leaves look up their tokens, and neighbours are concatenated up the tree."""
+    level = [bytes(_leaf(ids.slice(at, DECODE_LEAF), vocabulary)[0]) for at in range(0, len(ids), DECODE_LEAF)]
+    while len(level) > 1:
+        level = [level[i] + level[i + 1] if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+    return level[0] if level else b""
+
+
 def _decoded(ids: pa.Array, vocabulary: pa.Array) -> pa.Array:
-    """Bytes of each list of ids: the tokens' bytes one after the other."""
+    """Bytes of each list of ids. The leaves of all short lists are looked up together; longer lists are trees of their own."""
     length = np.asarray(pc.fill_null(ids.value_lengths(), 0), np.int64)
-    taken = vocabulary.take(ids.flatten())
-    offsets = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset: taken.offset + len(taken) + 1] if len(taken) else np.zeros(1, np.int64)
-    ends = offsets[np.concatenate([[0], np.cumsum(length)])]
-    line = taken.buffers()[2]
-    data = memoryview(line) if line is not None else b""
-    return pa.array([bytes(data[s:e]) for s, e in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary())
+    flat, ends = ids.flatten(), np.cumsum(length)
+    out: list[bytes] = []
+    at = 0
+    while at < len(length):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] - length[at] + LEAVES, side="right")))
+        long = np.flatnonzero(length[at:to] > DECODE_LEAF)
+        if len(long) and long[0] == 0:
+            to = at + 1
+            out.append(decode(flat.slice(ends[at] - length[at], length[at]), vocabulary))
+        else:
+            to = at + int(long[0]) if len(long) else to
+            begin = ends[at] - length[at]
+            line, stop = _leaf(flat.slice(begin, ends[to - 1] - begin), vocabulary)
+            stop = np.concatenate([[0], stop])[ends[at:to] - begin].tolist()
+            out += [bytes(line[s:e]) for s, e in zip([0, *stop[:-1]], stop)]
+        at = to
+    return pa.array(out, pa.binary())
 
 
 def with_ids(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", ids_col: str = "ids", bytes_col: str | None = None) -> DataFrame:

@@ -35,8 +35,7 @@ def op3_shards(spark: SparkSession, folder: str) -> DataFrame:
 def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every text, and the bytes they decode to."""
     ranks = byte_bpe.load_ranks(public_tokenizers.path(VOCABULARY))
-    ids = byte_bpe.with_ids(table(spark, folder, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN).drop("text")
-    decoded = byte_bpe.with_bytes(ids, ranks)
+    decoded = byte_bpe.with_ids(table(spark, folder, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN, bytes_col="decoded").drop("text")
     return decoded.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
