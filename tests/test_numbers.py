@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftwright.functions.numbers import tolerant
-from siftwright.functions.tails import chi2_upper, t_two_sided
+from siftwright.functions.tails import chi2_upper, normal_two_sided, t_two_sided
 from siftwright.operators import report
-from siftwright.operators.regression import _main_effect
+from siftwright.operators.sparse_solve import least_p
 from siftwright.sources import readers, writers
 
 
@@ -49,8 +49,9 @@ def test_t_tail_at_large_dof():
 def test_first_column_wins_among_equal_p():
     import numpy as np
 
-    found = _main_effect(10, np.array([9.0, 1.0, 5.0]), np.array([0.2, 0.0, 0.0]), np.array([1.0, 50.0, 90.0]), np.array([True] * 3), np.array(["x", "y", "z"]))
-    assert found[1:4] == (1.0, 0.0, "y")
+    b, spread = np.array([9.0, 1.0, 5.0]), np.array([81.0, 1 / 2500, 25 / 8100])  # z of 1, 50 and 90: the last two have p = 0
+    found = least_p(b, np.array([True] * 3), spread, lambda c: spread[c], lambda z2: normal_two_sided(math.sqrt(z2)), 1.0)
+    assert found == (1, 0.0)
 
 
 def test_missing_columns_per_dataset(spark):
