@@ -3,8 +3,8 @@
 Super-k-mers: the smallest hash of all short word grams of a window is its minimiser. Consecutive windows
 with one minimiser travel together as one packed string to the minimiser's bucket, so a word is sent
 about three times and not once for each of its windows. Equal windows have equal minimisers and meet in
-one bucket; there the windows are sorted by a rolling hash and runs of equal hashes are compared word by word,
-so counts are exact.
+one bucket; there super-k-mers whose minimiser no other one has are done at once (about three in four), the windows of the
+others are sorted by a rolling hash, and runs of equal hashes are compared word by word, so counts are exact.
 
 Grams that a sample shows to be frequent (a line that many documents share) come last in the order of hashes, so that
 windows around such a line spread over the buckets of their other grams.
@@ -32,6 +32,7 @@ from siftwright.llm.common import chunks, column_bytes, hash_strings, joined_wor
 WINDOW, GRAM = 35, 4
 #: Bytes of text per bucket, and the most partitions that buckets are dealt to.
 BUCKET_BYTES, MAX_PARTITIONS, BUCKET_LIMIT = 4 << 20, 20_000, 96 << 20
+TEXT_LEVEL = 6
 #: Text read to find frequent minimisers, and the most of them that are told to all tasks.
 SKEW_BYTES, MAX_HEAVY = 64 << 20, 1 << 16
 _BASE = 0x9E3779B97F4A7C15
@@ -64,22 +65,29 @@ def _sliding_min(values: np.ndarray, window: int) -> np.ndarray:
 
 
 def _pack(columns: list[np.ndarray], text: bytes) -> bytes:
-    body = b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
-    return zstandard.compress(struct.pack("<qq", len(columns[0]), len(body)) + body + text, 3)
+    """Columns byte by byte (high bytes are mostly 0) and then the text, compressed apart: they have nothing in common."""
+    body = b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.dtype.itemsize).T.tobytes() for c in columns)
+    body = zstandard.compress(struct.pack("<q", len(columns[0])) + body, 3)
+    return struct.pack("<q", len(body)) + body + (zstandard.compress(text, TEXT_LEVEL) if text else b"")
 
 
 def _unpack(blob: bytes, kinds: list) -> tuple[list[np.ndarray], bytes]:
-    raw = zstandard.decompress(blob)
-    n, size = struct.unpack_from("<qq", raw)
-    at, columns = 16, []
+    size, = struct.unpack_from("<q", blob)
+    raw = zstandard.decompress(blob[8:8 + size])
+    n, = struct.unpack_from("<q", raw)
+    at, columns = 8, []
     for kind in kinds:
-        columns.append(np.frombuffer(raw, kind, n, at))
-        at += n * np.dtype(kind).itemsize
-    return columns, raw[16 + size:]
+        width = np.dtype(kind).itemsize
+        columns.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T).view(kind).ravel())
+        at += n * width
+    return columns, zstandard.decompress(blob[8 + size:]) if len(blob) > 8 + size else b""
 
 
-_PACKED = [np.int64, np.int64, np.int32, np.int32, np.uint8]  # k1, k2, first word, words, copies (1, or 2 for more)
-_DIRECT = [np.int64, np.int64, np.int32, np.int32]
+#: k1, k2, first word, words, copies (1, or 2 for more; and INNER), minimiser (its low bits)
+_PACKED = [np.int64, np.uint16, np.int32, np.int32, np.uint8, np.uint16]
+#: Marks a super-k-mer that holds its minimiser twice, so that it may repeat a window by itself.
+INNER = 4
+_DIRECT = [np.int64, np.uint16, np.int32, np.int32]
 
 
 def _repeats(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -89,8 +97,8 @@ def _repeats(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return first, np.bincount(first, minlength=len(strings))[first]
 
 
-def _minimisers(line: bytes, ends: np.ndarray, counts: np.ndarray, window: int, gram: int, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Minimiser by first word, the text each word belongs to, and the words at which windows start.
+def _minimisers(line: bytes, ends: np.ndarray, counts: np.ndarray, window: int, gram: int, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Minimiser by first word, the text each word belongs to, the words at which windows start, and all grams.
 
     Grams in `heavy` (sorted) come last in the order, so a window takes one only if it holds no other.
     """
@@ -101,7 +109,7 @@ def _minimisers(line: bytes, ends: np.ndarray, counts: np.ndarray, window: int,
         grams = np.where(frequent, grams | np.uint64(_ORDER + 1), grams)
     least = _sliding_min(grams, window - gram + 1)
     doc = np.repeat(np.arange(len(counts)), counts)
-    return least, doc, np.flatnonzero(doc[: len(least)] == doc[window - 1:])
+    return least, doc, np.flatnonzero(doc[: len(least)] == doc[window - 1:]), grams
 
 
 def super_kmers(k1: np.ndarray, k2: np.ndarray, texts: list[bytes], window: int, gram: int, buckets: int, heavy: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
@@ -109,7 +117,7 @@ def super_kmers(k1: np.ndarray, k2: np.ndarray, texts: list[bytes], window: int,
     line, starts, ends, counts = joined_words(texts)
     if len(ends) < window:
         return
-    least, doc, at = _minimisers(line, ends, counts, window, gram, heavy)
+    least, doc, at, grams = _minimisers(line, ends, counts, window, gram, heavy)
     begin = np.cumsum(counts) - counts
     if not len(at):
         return
@@ -122,19 +130,23 @@ def super_kmers(k1: np.ndarray, k2: np.ndarray, texts: list[bytes], window: int,
     strings = [line[s:e] for s, e in zip(starts[first].tolist(), ends[first + words_in - 1].tolist())]
     same, copies = _repeats(strings)
     owner = doc[first]
-    a, b, pos = k1[owner], k2[owner], (first - begin[owner]).astype(np.int32)
+    a, b, pos = k1[owner], k2[owner].astype(np.uint16), (first - begin[owner]).astype(np.int32)
     twice = np.flatnonzero(copies > 1)
     if len(twice):
         yield int(mixed(k2[:1])[0] % np.uint64(buckets)), 1, _pack([a[twice], b[twice], pos[twice], words_in[twice].astype(np.int32)], b"")
     kept = np.flatnonzero(same == np.arange(len(strings)))
+    spread = words_in[kept] - gram + 1
+    place = np.repeat(first[kept] - np.cumsum(spread) + spread, spread) + np.arange(spread.sum())
+    inner = np.add.reduceat(grams[place] == np.repeat(least[first[kept]], spread), np.cumsum(spread) - spread, dtype=np.int64) > 1
+    flags = np.minimum(copies[kept], 2) | np.where(inner, INNER, 0)
     bucket = (least[first[kept]] % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    kept, bucket = kept[order], bucket[order]
+    kept, bucket, flags = kept[order], bucket[order], flags[order].astype(np.uint8)
     cut = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
     for s, e in zip(cut[:-1].tolist(), cut[1:].tolist()):
         k = kept[s:e]
         yield int(bucket[s]), 0, _pack(
-            [a[k], b[k], pos[k], words_in[k].astype(np.int32), np.minimum(copies[k], 2).astype(np.uint8)], b"\n".join([strings[i] for i in k.tolist()])
+            [a[k], b[k], pos[k], words_in[k].astype(np.int32), flags[s:e], least[first[k]].astype(np.uint16)], b"\n".join([strings[i] for i in k.tolist()])
         )
 
 
@@ -164,7 +176,7 @@ class Bucket:
         again = copies > 1
         if again.any():
             yield [c[again] for c in columns[:4]]
-        columns[4] = np.where(again, 2, columns[4]).astype(np.uint8)
+        columns[4] = np.where(again, columns[4] & INNER | 2, columns[4]).astype(np.uint8)
         kept = np.flatnonzero(first == np.arange(len(first)))
         text = b"\n".join([strings[i] for i in kept.tolist()])
         self.parts, self.size = [([c[kept] for c in columns], text)], len(text)
@@ -174,8 +186,17 @@ class Bucket:
         if not self.parts:
             return
         w = self.window
-        (k1, k2, pos, count, copies), text = self._whole()
+        (k1, k2, pos, count, copies, key), text = self._whole()
         self.parts, self.size, self.limit = [], 0, BUCKET_LIMIT
+        # a window that repeats has its minimiser in two super-k-mers, or twice in one; all others, most of the text, are done
+        _, inverse, times = np.unique(key, return_inverse=True, return_counts=True)
+        kept = np.flatnonzero((times[inverse] > 1) | (copies & INNER > 0))
+        if not len(kept):
+            return
+        strings = text.split(b"\n")
+        text = b"\n".join([strings[i] for i in kept.tolist()])
+        del strings
+        k1, k2, pos, count, copies = k1[kept], k2[kept], pos[kept], count[kept], copies[kept] & 3
         line = text.replace(b"\n", b" ") + b" "
         ends = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
         codes, _ = word_codes(line, ends)
@@ -224,7 +245,7 @@ def heavy_grams(keyed: DataFrame, size: int, buckets: int, window: int, gram: in
         for part in chunks(batches, "text"):
             line, _, ends, counts = joined_words(column_bytes(part.column(0)))
             if len(ends) >= window:
-                least, _, at = _minimisers(line, ends, counts, window, gram, none)
+                least, _, at, _ = _minimisers(line, ends, counts, window, gram, none)
                 value, n = np.unique(least[at], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(value.astype(np.int64)), pa.array(n.astype(np.int64))], ["gram", "n"])
 
@@ -249,7 +270,7 @@ def repeated_ranges(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM, bu
 
     def found(columns: list[np.ndarray]) -> pa.RecordBatch:
         k1, k2, first, n = columns
-        return pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(first), pa.array(first + n)], ["k1", "k2", "first", "last"])
+        return pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2.astype(np.int64)), pa.array(first), pa.array(first + n)], ["k1", "k2", "first", "last"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, bucket = None, Bucket(window)
@@ -273,16 +294,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """All columns of `docs` and a struct `dedup` (n_words, n_removed, kept) with the words that stay, joined by one space.
 
     A null or empty text has no words. Repeated rows are two places, so what they hold is removed from both. Rows are told
-    apart by hashes of id and text; rows equal in both get equal ranges anyway. Nothing shorter than
+    apart by 80 bits of hashes of id and text; rows equal in both get equal ranges anyway. Nothing shorter than
     `window` words is removed.
     """
     small_batches(docs.sparkSession)
     keyed = docs.withColumn("dedup", F.struct(
-        F.xxhash64(F.col(f"`{id_col}`")).alias("k1"), F.xxhash64(F.col(f"`{text_col}`")).alias("k2"),
+        F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("k1"), F.xxhash64(F.col(f"`{text_col}`"), F.col(f"`{id_col}`")).bitwiseAND(65535).alias("k2"),
         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
     ))
     ranges = repeated_ranges(keyed.select("dedup.*"), window, gram)
-    spans = ranges.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    spans = ranges.groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
     lists = spans.select("k1", "k2", F.col("spans.first").alias("firsts"), F.col("spans.last").alias("lasts"))
 
     def strip(texts: pd.Series, firsts: pd.Series, lasts: pd.Series) -> pd.DataFrame:

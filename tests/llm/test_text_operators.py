@@ -136,10 +136,32 @@ def test_substring_against_brute_force(make_docs, monkeypatch, bucket_bytes):
     assert len(out) == len(texts)
 
 
+def test_windows_repeated_inside_one_super_kmer(make_docs):
+    """No other text has their minimisers, so only the mark of a minimiser met twice keeps them."""
+    rng = random.Random(12)
+    texts = []
+    for i in range(300):
+        p, n = rng.randint(1, 9), rng.randint(5, 40)
+        w = [f"t{i}x{j % p}" for j in range(n)]
+        at = rng.randint(0, n)
+        texts.append(" ".join(w[:at] + [f"odd{i}"] * rng.randint(0, 1) + w[at:]))
+    out = substring.remove_repeats(make_docs(list(enumerate(texts))), window=8, gram=3).collect()
+    kept = brute_removal(texts, 8)
+    assert all(r.dedup.kept == kept[r.doc_id] for r in out) and sum(k != t for k, t in zip(kept, texts)) > 100
+
+
+def test_lone_super_kmers_are_left_out_and_shared_ones_not():
+    bucket = substring.Bucket(2)
+    columns = [np.arange(4), np.arange(4).astype(np.uint16), np.zeros(4, np.int32), np.full(4, 3, np.int32), np.array([1, 1, 1, 1 | substring.INNER], np.uint8), np.array([5, 5, 6, 9], np.uint16)]
+    list(bucket.add(substring._pack(columns, b"a b c\nx b c\nb c d\nz z z")))
+    (k1, _, first, n), = bucket.finish()
+    assert k1.tolist() == [0, 1, 3] and first.tolist() == [1, 1, 0] and n.tolist() == [2, 2, 3]
+
+
 def test_equal_hashes_are_told_apart(monkeypatch):
     monkeypatch.setattr(substring, "_rolling", lambda values, window: np.zeros(max(0, len(values) - window + 1), np.uint64))
     bucket = substring.Bucket(2)
-    blob = substring._pack([np.array([1, 2, 3]), np.array([1, 2, 3]), np.zeros(3, np.int32), np.full(3, 3, np.int32), np.ones(3, np.uint8)], b"a b c\nx b c\nq r s")
+    blob = substring._pack([np.array([1, 2, 3]), np.array([1, 2, 3], np.uint16), np.zeros(3, np.int32), np.full(3, 3, np.int32), np.ones(3, np.uint8), np.full(3, 7, np.uint16)], b"a b c\nx b c\nq r s")
     list(bucket.add(blob))
     (k1, _, first, n), = bucket.finish()
     assert k1.tolist() == [1, 2] and first.tolist() == [1, 1] and n.tolist() == [2, 2]
@@ -323,3 +345,16 @@ def test_language_odd_rows(make_docs, odd_rows):
     assert all((r.lang_pred, r.score) == ("und", 0.0) for r in out if r.text is None or not r.text.strip())
     none = language_id.train(make_docs([]))
     assert none.predict(["abc", None])[0] == ["und", "und"]
+
+
+def test_decoding_tree(monkeypatch, vocabulary):
+    import pyarrow as pa
+
+    monkeypatch.setattr(byte_bpe, "DECODE_LEAF", 3)
+    monkeypatch.setattr(byte_bpe, "LEAVES", 8)
+    ranks = vocabulary if isinstance(vocabulary, dict) else byte_bpe.load_ranks(public_tokenizers.path(queries.VOCABULARY))
+    token = {v: k for k, v in ranks.items()}
+    rng = random.Random(9)
+    lists = [[rng.choice(list(token)[:300]) for _ in range(rng.choice([0, 1, 2, 3, 4, 9, 30]))] for _ in range(80)] + [None, []]
+    got = byte_bpe._decoded(pa.array(lists, pa.list_(pa.int32())), byte_bpe._vocabulary(ranks)).to_pylist()
+    assert got == [b"".join(token[t] for t in ids or []) for ids in lists]
