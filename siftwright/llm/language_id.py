@@ -12,7 +12,6 @@ labelled with its text's language. The weights are fitted by mini-batch gradient
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,29 +20,61 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwright.llm.common import chunks, small_batches
+from siftwright.llm.common import chunks, mixed, small_batches
 
 UNKNOWN = "und"
-#: At most this many labelled texts per language are fitted on; every text is predicted.
-SAMPLE_TEXTS, SAMPLE_WORDS = 400, 120
+#: About this many labelled texts per language are fitted on, each by chains from anywhere in it; every text is predicted.
+SAMPLE_TEXTS = 400
 CHAINS, CHAIN_WORDS, EPOCHS, BATCH, RATE, DECAY = 6000, 24, 6, 250, 0.5, 1e-5
 BUCKETS = 1 << 16
 LEXICON = 3000
 BLOCK = 128
 MEMO = 300_000
-_LETTERS = re.compile(r"[^\W\d_]+")
+_RUNS = re.compile(r"[^\W\d_]+")
+
+
+def letter_words(text: str) -> list[str]:
+    """Runs of letters, lower case. Digits, number signs (½, ², Ⅷ) and all else end a word; so do combining marks that stand apart from their letter."""
+    found = _RUNS.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [part for run in found for part in (run if run.isalpha() else "".join(c if c.isalpha() else " " for c in run)).split()]
+
+
+def feature_parts(words: list[str], lexicon: dict[str, int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(word, feature) arrays, sorted by word: hashed n-grams and affixes of lower-case words, all of them however long, and lexicon entries."""
+    raw = [f"<{w}>".encode("utf-8", "surrogatepass") for w in words]
+    size = np.fromiter(map(len, raw), np.int64, len(raw))
+    text = np.frombuffer(b"".join(raw) + b"\0\0\0", np.uint8).astype(np.uint64)
+    end = np.cumsum(size)
+    start, word = end - size, np.repeat(np.arange(len(raw)), size)
+
+    def hashed(at: np.ndarray, k: int, kind: int) -> np.ndarray:
+        value = np.full(len(at), kind << 40, np.uint64)
+        for j in range(k):
+            value |= text[at + j] << np.uint64(8 * j)
+        return (mixed(value) % np.uint64(BUCKETS)).astype(np.int64)
+
+    parts, left = [], end[word] - np.arange(len(word))
+    for k in (2, 3):
+        at = np.flatnonzero(left >= k)
+        parts.append((word[at], hashed(at, k, k)))
+    for k in (2, 3, 4):
+        at = np.flatnonzero(size >= k)
+        parts += [(at, hashed(start[at], k, 8 + k)), (at, hashed(end[at] - k, k, 16 + k))]
+    known = [(i, e) for i, w in enumerate(words) if (e := lexicon.get(w)) is not None]
+    return parts + [(np.array([i for i, _ in known], np.int64), np.array([BUCKETS + e for _, e in known], np.int64))]
 
 
 def features(word: str, lexicon: dict[str, int]) -> list[int]:
-    """Hashed affixes and n-grams of a lower-case word, all of it however long, and its lexicon entry."""
-    h, raw = zlib.crc32, f"<{word}>".encode("utf-8", "surrogatepass")
-    found = {h(raw[:k], 1) for k in (2, 3, 4)} | {h(raw[-k:], 2) for k in (2, 3, 4)}
-    found |= {h(raw[i:i + k], 3) for k in (2, 3) for i in range(len(raw) - k + 1)}
-    out = [x % BUCKETS for x in found]
-    entry = lexicon.get(word)
-    if entry is not None:
-        out.append(BUCKETS + entry)
-    return out
+    return [int(x) for _, flat in feature_parts([word], lexicon) for x in flat]
+
+
+def _by_word(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """All features of the words one word after the other, and how many each has."""
+    parts = feature_parts(words, lexicon)
+    word, flat = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    return flat[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(words))
 
 
 class Model:
@@ -72,10 +103,11 @@ class Model:
             self.forget()
         new = [w for w in dict.fromkeys(words) if w not in memo]
         if new:
-            lists = [features(w, self.lexicon) for w in new]
-            n = np.fromiter(map(len, lists), np.int64, len(lists))
-            flat = np.fromiter((x for one in lists for x in one), np.int64, int(n.sum()))
-            sums = np.add.reduceat(self.weights[flat], np.cumsum(n) - n, axis=0)
+            sums = np.zeros((len(new), self.weights.shape[1]), self.weights.dtype)
+            for word, flat in feature_parts(new, self.lexicon):
+                if len(word):
+                    head = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+                    sums[word[head]] += np.add.reduceat(self.weights[flat], head, axis=0) if len(head) < len(word) else self.weights[flat]
             for w in new:
                 memo[w] = len(memo)
             self.rows.append(sums)
@@ -86,7 +118,7 @@ class Model:
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         words, counts = [], []
         for t in texts:
-            found = _LETTERS.findall(t.lower()) if t else []
+            found = letter_words(t) if t else []
             words += found
             counts.append(len(found))
         counts = np.array(counts, np.int64)
@@ -178,8 +210,7 @@ def _chains(texts: list[tuple[list[str], int]], languages: int, rng: np.random.G
 
 def fit(texts: list[tuple[str, str]], seed: int = 7) -> Model:
     """Fit on (text, language) pairs; those without letters are left out."""
-    split = [(_LETTERS.findall(t.lower())[:SAMPLE_WORDS], l) for t, l in texts]
-    split = [(w, l) for w, l in split if w]
+    split = [(w, l) for t, l in texts if (w := letter_words(t))]
     languages = sorted({l for _, l in split})
     k = len(languages)
     count: dict[str, int] = {}
@@ -194,10 +225,8 @@ def fit(texts: list[tuple[str, str]], seed: int = 7) -> Model:
     rng = np.random.default_rng(seed)
     chains, labels = _chains([(w, languages.index(l)) for w, l in split], k, rng)
     known = {w: i for i, w in enumerate(dict.fromkeys(w for c in chains for w in c))}
-    lists = [features(w, lexicon) for w in known]
+    flat, sizes = _by_word(list(known), lexicon)
     code = np.array([[known[w] for w in c] for c in chains])
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    flat = np.fromiter((x for one in lists for x in one), np.int64, int(sizes.sum()))
     begin = np.cumsum(sizes) - sizes
     seen, seen_moves = np.full(weights.shape[0], 1e-6), np.full((k, k), 1e-6)
     for _ in range(EPOCHS):
