@@ -281,19 +281,19 @@ def _(spark, sf):
     return out.select("pos", "rep", F.round("effect", 6).alias("effect"))
 
 
-@query("bootstrap_ci", """WITH e AS (SELECT l_suppkey::INTEGER AS pos, l_discount - CASE WHEN l_suppkey % 3 = 0 THEN 0.05 ELSE -0.02 END AS effect FROM lineitem WHERE l_suppkey % 10 <> 0),
+@query("bootstrap_ci", """WITH e AS (SELECT l_orderkey::INTEGER AS pos, l_discount - CASE WHEN l_orderkey % 3 = 0 THEN 0.05 ELSE -0.02 END AS effect FROM lineitem),
 q AS (SELECT pos, count(*) AS runs, quantile_cont(effect, 0.5) AS mid, quantile_cont(effect, 0.025) AS lo, quantile_cont(effect, 0.975) AS hi,
   greatest(avg((effect > 0)::INTEGER), avg((effect < 0)::INTEGER)) AS signs, avg((effect >= 0.03)::INTEGER) AS passes, avg((effect > 0)::INTEGER) AS dirs FROM e GROUP BY pos)
 SELECT s.pos, runs IS NOT NULL AS bootstrap_testable, runs AS bootstrap_successful_runs, round(mid, 9) AS bootstrap_median_effect, round(lo, 9) AS bootstrap_ci_low, round(hi, 9) AS bootstrap_ci_high,
   (lo > 0 AND hi > 0) OR (lo < 0 AND hi < 0) AS bootstrap_ci_excludes_zero, round(signs, 9) AS bootstrap_sign_consistency, round(passes, 9) AS bootstrap_effect_pass_rate, round(dirs, 9) AS bootstrap_direction_match_rate,
   coalesce(((lo > 0 AND hi > 0) OR (lo < 0 AND hi < 0)) AND signs >= 0.8 AND passes >= 0.7, false) AS bootstrap_stable,
-  CASE WHEN runs IS NULL THEN 'no_successful_bootstrap_runs' ELSE '' END AS bootstrap_notes FROM (SELECT s_suppkey::INTEGER AS pos FROM supplier) s LEFT JOIN q USING (pos)""")
+  CASE WHEN runs IS NULL THEN 'no_successful_bootstrap_runs' ELSE '' END AS bootstrap_notes FROM (SELECT o_orderkey::INTEGER AS pos FROM orders) s LEFT JOIN q USING (pos)""")
 def _(spark, sf):
-    """Replicate effects per supplier, summed up; suppliers without any are not testable."""
-    effect = F.col("l_discount") - F.when(F.col("l_suppkey") % 3 == 0, 0.05).otherwise(-0.02)
-    e = table(spark, sf, "lineitem").filter(F.col("l_suppkey") % 10 != 0).select(F.col("l_suppkey").cast("int").alias("pos"), effect.alias("effect"))
+    """Replicate effects per order, summed up; orders without lines have none and are not testable."""
+    effect = F.col("l_discount") - F.when(F.col("l_orderkey") % 3 == 0, 0.05).otherwise(-0.02)
+    e = table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("int").alias("pos"), effect.alias("effect"))
     scored = e.select("pos", "effect", (F.col("effect") >= 0.03).alias("effect_pass"), (F.col("effect") > 0).alias("direction_ok"))
-    everyone = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("int").alias("pos"))
+    everyone = table(spark, sf, "orders").select(F.col("o_orderkey").cast("int").alias("pos"))
     return digits(B.summarize(scored, everyone))
 
 
