@@ -30,7 +30,7 @@ from siftwright.llm.common import chunks, column_bytes, hash_strings, small_batc
 #: Labelled documents fitted on, per class, and distinct sentences of theirs that reach the driver.
 SAMPLE_DOCS, SAMPLE_SENTENCES = 1500, 50_000
 SPAN, DECAY, POWER, FLOOR = 8, 0.7, 3, 0.45
-TOXIC_MARKS, CLEAN_MARKS, HARD_MARKS = 120, 16, 48
+TOXIC_MARKS, CLEAN_MARKS, HARD_MARKS = 80, 8, 32
 LEAST_SENTENCES, LEAST_Z = 5, 4.0
 #: Words of a sentence at most (longer ones are cut), and letters of a word (longer ones count by their best window).
 SENTENCE, WINDOW = 32, 24
@@ -75,16 +75,17 @@ _LETTERS = _Letters()
 
 def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, key, weight): for each word its distinct gapped triples and their summed weights."""
-    table = np.zeros((len(words), max(max(map(len, words), default=0), SPAN)), np.int64)
-    for i, w in enumerate(words):
-        table[i, :len(w)] = [_LETTERS[c] for c in w]
+    sizes_in = np.fromiter(map(len, words), np.int64, len(words))
+    table = np.zeros((len(words), max(int(sizes_in.max(initial=0)), SPAN)), np.int32)
+    flat = np.fromiter(map(_LETTERS.__getitem__, "".join(words)), np.int32, int(sizes_in.sum()))
+    table[np.repeat(np.arange(len(words)), sizes_in), np.arange(len(flat)) - np.repeat(np.cumsum(sizes_in) - sizes_in, sizes_in)] = flat
     rows, keys, sizes = [], [], []
     for a, b in _GAPS:
         x, y, z = table[:, : table.shape[1] - a - b], table[:, a:table.shape[1] - b], table[:, a + b:]
-        at = np.nonzero((x > 0) & (y > 0) & (z > 0))
-        rows.append(at[0])
-        keys.append((x[at] * _KINDS + y[at]) * _KINDS + z[at])
-        sizes.append(np.full(len(at[0]), DECAY ** (a + b + 1)))
+        at = np.flatnonzero((x > 0) & (y > 0) & (z > 0))
+        rows.append(at // x.shape[1])
+        keys.append(((x * _KINDS + y) * _KINDS + z).ravel()[at])
+        sizes.append(np.full(len(at), DECAY ** (a + b + 1)))
     code = np.concatenate(rows) * _KINDS**3 + np.concatenate(keys)
     distinct, inverse = np.unique(code, return_inverse=True)
     return distinct // _KINDS**3, distinct % _KINDS**3, np.bincount(inverse, np.concatenate(sizes), len(distinct))
@@ -130,7 +131,9 @@ class Model:
 
     def __init__(self, landmarks: list[str], weights: np.ndarray, bias: float, curve: np.ndarray):
         self.landmarks, self.weights, self.bias, self.curve = landmarks, weights, bias, curve
-        self.kernel, self.memo = Kernel(landmarks) if landmarks else None, {}
+        self.kernel = Kernel(landmarks) if landmarks else None
+        self.memo: dict[bytes, float] = {}
+        self.bared: dict[str, float] = {}
 
     def __getstate__(self):
         return (self.landmarks, self.weights, self.bias, self.curve)
@@ -140,31 +143,33 @@ class Model:
 
     def judge(self, words: list[str]) -> np.ndarray:
         """What each word adds to its sentence; a long one by its best window."""
-        if self.kernel is None:
-            return np.zeros(len(words))
         out = np.zeros(len(words))
-        for at in range(0, len(words), 2000):
-            parts, owner = [], []
-            for i, w in enumerate(words[at:at + 2000]):
-                for part in windows(w):
-                    parts.append(part)
-                    owner.append(i)
-            for s in range(0, len(parts), 4000):
-                best = near(self.kernel(parts[s:s + 4000])) @ self.weights
-                here = np.array(owner[s:s + 4000]) + at
-                np.maximum.at(out, here, best)
-                if len(parts) == len(words[at:at + 2000]):  # no long word: what lowers the score counts too
-                    out[here] = best
+        if self.kernel is None:
+            return out
+        # words of like length side by side, so that their tables are narrow
+        order = sorted((i for i, w in enumerate(words) if 2 < len(w) <= WINDOW), key=lambda i: len(words[i]))
+        for at in range(0, len(order), 2000):
+            here = order[at:at + 2000]
+            out[here] = near(self.kernel([words[i] for i in here])) @ self.weights
+        for i, w in enumerate(words):
+            if len(w) > WINDOW:
+                parts = windows(w)
+                out[i] = max(float((near(self.kernel(parts[at:at + 4000])) @ self.weights).max()) for at in range(0, len(parts), 4000))
         return out
 
     def words(self, tokens: list[bytes]) -> np.ndarray:
-        memo = self.memo
+        """The same for words as texts write them; tokens that differ only in case and signs around them are judged once."""
+        memo, bared = self.memo, self.bared
         if len(memo) > MEMO:
             memo.clear()
+        if len(bared) > MEMO:
+            bared.clear()
         new = [t for t in tokens if t not in memo]
         if new:
-            for t, v in zip(new, self.judge([bare(t.decode("utf-8", "replace")) for t in new]).tolist()):
-                memo[t] = v
+            plain = [bare(t.decode("utf-8", "replace")) for t in new]
+            fresh = [w for w in dict.fromkeys(plain) if w not in bared]
+            bared.update(zip(fresh, self.judge(fresh).tolist()))
+            memo.update((t, bared[w]) for t, w in zip(new, plain))
         return np.fromiter(map(memo.__getitem__, tokens), np.float64, len(tokens))
 
     def facts(self, column: pa.Array) -> np.ndarray:
@@ -179,7 +184,7 @@ class Model:
         tokens = distinct.to_pylist()
         value = self.words(tokens)
         stops = np.fromiter((t.endswith(_ENDS) for t in tokens), bool, len(tokens))
-        alone = np.fromiter((len(t) <= 8 and len(bare(t.decode("utf-8", "replace"))) == 1 for t in tokens), bool, len(tokens))
+        alone = np.fromiter((len(t) <= 4 and len(bare(t.decode("utf-8", "replace"))) == 1 for t in tokens), bool, len(tokens))
         segment = segments(stops[codes], counts)
         added = value[codes]
         added[~_first_of(segment, codes)] = 0.0  # a word counts once in a sentence
