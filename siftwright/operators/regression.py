@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from siftwright.functions.tails import normal_two_sided, t_two_sided
 from siftwright.functions.weights import Weights
+from siftwright.operators.absorb import absorbed
 from siftwright.operators.sparse_solve import Reduced, least_p
 from siftwright.plans.materialize import pin, small_frame
 
@@ -356,14 +357,21 @@ def _estimate(n, b, dof, left_over, low, size: Callable, sd, live, wanted, d: De
 
 
 def least_squares(frame: DataFrame, designs: list[Design], weights: Weights) -> DataFrame:
-    """Main coefficient and p per hypothesis and replicate."""
+    """Main coefficient and p per hypothesis and replicate; wide categories of the plain sample are projected out first."""
     by_pos = {d.pos: d for d in designs}
 
     def solve(pos: int, rep: int, sums: Sums) -> tuple:
         d = by_pos[pos]
         return (pos, rep, *(_wide_least_squares(*sums.places(), d) if d.width() > WIDE else _least_squares(sums.whole, d)))
 
-    return gathered(cross_products(frame, designs, weights), len(designs) * weights.count(), solve, RESULT)
+    done = []
+    if weights.kind == "ones":
+        for d in designs:
+            if d.width() > WIDE and (found := absorbed(frame, d)) is not None:
+                done.append((d.pos, 0, *found))
+    known = small_frame(frame.sparkSession, done, RESULT)
+    rest = [d for d in designs if d.pos not in {r[0] for r in done}]
+    return known.unionByName(gathered(cross_products(frame, rest, weights), len(rest) * weights.count(), solve, RESULT)) if rest else known
 
 
 # ---- logistic -----------------------------------------------------------------------------------

@@ -376,7 +376,8 @@ class Bench:
                 keep.append(F.col(f"c{self.at[c]}"))
             elif levels[c]:
                 keep.append(level_code(self.txt(c), list(levels[c])).cast("double").alias(f"c{self.at[c]}"))
-        return linear, logit, coded.select("rid", *keep), faults
+        coded = coded.select("rid", *keep)
+        return linear, logit, pin(coded) if self.coded else coded, faults  # rows are not joined with their codes in every scan
 
     def regressions(self, weights: Weights, only: set[int] | None = None) -> DataFrame | None:
         specs = self.of(*REGRESSIONS)
