@@ -27,15 +27,45 @@ def row_hash(key: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
+#: Weight by the first STEP_BITS bits of a draw, AMBIGUOUS where these leave two or more open.
+STEP_BITS, AMBIGUOUS = 12, -1
+
+
+def _steps() -> np.ndarray:
+    edge = np.arange((1 << STEP_BITS) + 1) * 2.0**-STEP_BITS
+    low, high = (np.searchsorted(POISSON_CDF, e, side=side) for e, side in ((edge[:-1], "right"), (edge[1:], "left")))
+    return np.where(low == high, low, AMBIGUOUS).astype(np.int32)
+
+
+_STEPS = _steps()
+#: Draws mixed at once, so that they stay in the processor's cache.
+AT_ONCE = 1 << 15
+
+
 def poisson_weights(base: np.ndarray, reps: np.ndarray) -> np.ndarray:
     """Weights (rows x replicates) from row hashes and replicate numbers."""
+    base = base.astype(np.uint64)
     with np.errstate(over="ignore"):
-        z = base.astype(np.uint64)[:, None] + (reps.astype(np.uint64) + np.uint64(1))[None, :] * np.uint64(GOLDEN)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(MIX_1)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(MIX_2)
-        z ^= z >> np.uint64(31)
-    u = (z >> np.uint64(11)).astype(float) * 2.0**-53
-    return np.searchsorted(POISSON_CDF, u, side="right").astype(np.int32)
+        turns = (reps.astype(np.uint64) + np.uint64(1)) * np.uint64(GOLDEN)
+    out = np.empty((len(base), len(turns)), np.int32)
+    step = max(1, AT_ONCE // max(1, len(turns)))
+    for at in range(0, len(base), step):
+        z = base[at:at + step, None] + turns[None, :]
+        y = z >> np.uint64(30)
+        z ^= y
+        z *= np.uint64(MIX_1)
+        np.right_shift(z, np.uint64(27), out=y)
+        z ^= y
+        z *= np.uint64(MIX_2)
+        np.right_shift(z, np.uint64(31), out=y)
+        z ^= y
+        np.right_shift(z, np.uint64(64 - STEP_BITS), out=y)
+        w = np.take(_STEPS, y.view(np.int64))
+        open_ = w == AMBIGUOUS
+        u = (z[open_] >> np.uint64(11)).astype(float) * 2.0**-53
+        w[open_] = np.searchsorted(POISSON_CDF, u, side="right")
+        out[at:at + step] = w
+    return out
 
 
 @dataclass(frozen=True)

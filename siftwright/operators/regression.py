@@ -147,9 +147,19 @@ def _triangle(q: int) -> tuple[np.ndarray, np.ndarray]:
     return np.triu_indices(q)
 
 
+#: Columns up to which all products of two are written out, and rows done at once then.
+FEW, PRODUCT_ROWS = 24, 2048
+
+
 def _moments(z: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Triangle of z' W z for every column of weights; no temporary is wider than z."""
+    """Triangle of z' W z for every column of weights. Of few columns all products are one matrix, a piece of the rows at a time; else no temporary is wider than z."""
     i, j = _triangle(z.shape[1])
+    if z.shape[1] <= FEW:
+        out = np.zeros((len(i), w.shape[1]))
+        for at in range(0, len(z), PRODUCT_ROWS):
+            part = z[at:at + PRODUCT_ROWS]
+            out += (part[:, i] * part[:, j]).T @ w[at:at + PRODUCT_ROWS]
+        return out
     return np.column_stack([(z.T @ (z * w[:, r : r + 1]))[i, j] for r in range(w.shape[1])])
 
 
