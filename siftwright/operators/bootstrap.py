@@ -21,7 +21,7 @@ from siftwright.plans.materialize import pin
 
 # Rows handled at once in rank resampling: rows x replicates must fit a task comfortably. Longer
 # ranges are cut into pieces of this size; values that reach over a cut are stitched afterwards.
-RANGE_ROWS = 50_000
+RANGE_ROWS = 10_000
 
 
 def _melt_pairs(frame: DataFrame, specs: list[tuple[int, str, str]], a: str, b: str) -> DataFrame:
