@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwright.plans.materialize import pin
+from siftwright.plans.materialize import pin, unpin
 
 __all__ = ["pin", "unpin", "small_batches", "table", "chunks", "column_bytes", "joined_words", "word_codes", "hash_strings", "text_or_empty"]
 
@@ -38,14 +38,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
-def unpin(df: DataFrame) -> None:
-    """Delete the files of a pinned table that no later step reads."""
-    spark = df.sparkSession
-    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
 

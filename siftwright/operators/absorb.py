@@ -1,8 +1,8 @@
 """Least squares with one or two categories of very many levels, of which no task holds more than a chunk.
 
 The categories are projected out of the other columns (Frisch, Waugh, Lovell). The widest is averaged out level by level. With a second
-one, conjugate gradients over its levels do the rest: the cells (level, level) lie in chunks, the vectors in blocks of a table, and each
-step sends a chunk the entries that it has cells for. The driver sees sums of a few numbers per block or chunk.
+one, conjugate gradients over its levels do the rest: the cells (level, level) lie in chunks of a fixed size, the vectors in blocks of a table, and each
+step sends a chunk just the entries that it has cells for. The driver sees sums of a few numbers per block or chunk.
 """
 
 from __future__ import annotations
@@ -16,12 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwright.functions.tails import t_two_sided
-from siftwright.plans.materialize import pin
+from siftwright.plans.materialize import pin, unpin
 
 #: Levels from which on a category is projected out, and columns that the others may have together.
 MANY, DENSE = 256, 64
-#: Entries of one block of a vector; cells of a chunk, at least and at most.
-BLOCK, CELLS, MOST_CELLS = 4096, 1 << 20, 1 << 22
+#: Entries of one block of a vector (65,536 at most), cells of a chunk with sums of two columns, and entries that a block sends at once.
+BLOCK, CELLS, DEALT = 4096, 1 << 19, 1 << 19
 #: Relative size of what conjugate gradients leave, their steps, and of a column's spread that counts as none.
 LEFT, STEPS, FLAT = 1e-10, 400, 1e-8
 
@@ -81,10 +81,11 @@ def absorbed(frame: DataFrame, d) -> tuple | None:
         return None
     at = dict(zip([t.column for t in d.terms], d.starts()))
     place = np.array([at[t.column] + i for t in terms for i in range(t.width)], int)
-    predictor = d.is_predictor()[place]
+    predictor = np.repeat(np.array([t.source in d.predictors for t in terms], bool), [t.width for t in terms])  # nothing here is as long as a wide category
+    scale = np.repeat(np.array([t.scale for t in terms], float), [t.width for t in terms])
     if not wanted and not predictor.any():
         return None
-    g = _added(frame, lambda pdf: (lambda z: z.T @ z)(_dense(d, terms, pdf))).reshape(-1, k + 2)
+    g = _added(frame.select(d.outcome.column, *[t.column for t in terms if t.column != d.outcome.column]), lambda pdf: (lambda z: z.T @ z)(_dense(d, terms, pdf))).reshape(-1, k + 2)
     if not len(g) or g[0, 0] < 3:
         return None
     n = g[0, 0]
@@ -109,7 +110,7 @@ def absorbed(frame: DataFrame, d) -> tuple | None:
     noise, p_of = rest / dof, lambda t2: t_two_sided(dof / (dof + t2), dof)
     zero = _underflow(p_of)
     own = predictor[live]
-    tested = [(t2, c, x) for t2, c, x in zip(b[own] ** 2 / (noise * np.diag(inverse)[own]), place[live][own], b[own] / d.scales()[place[live][own]])]
+    tested = [(t2, c, x) for t2, c, x in zip(b[own] ** 2 / (noise * np.diag(inverse)[own]), place[live][own], b[own] / scale[live][own])]
     if wanted:
         base = cells.filter("k0 = 0").collect()
         if not base:
@@ -191,17 +192,27 @@ def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _chunks(cells: DataFrame, size: int, parts: int) -> DataFrame:
-    """(chunk, names, local, heads, n, s, comp): whole levels of the first category; `names` are the levels of the second that occur, `local` says which each cell has."""
+def _chunks(cells: DataFrame, m: int, size: int, parts: int) -> DataFrame:
+    """(chunk, names, blocks, ends, local, heads, n, comp, v, fact): whole levels of the first category.
+
+    `names` are the levels of the second that occur, up to `ends` in each of `blocks`; `local` says which each cell has, `comp` which of them
+    hang together here. By name, `v` adds up n and the sums less what the first category explains; `fact` has the products so explained, and the number of levels.
+    """
 
     def packed(number: int, pdf: pd.DataFrame) -> pd.DataFrame:
-        a, n = pdf["k0"].to_numpy(), pdf["n"].to_numpy()
+        a, n, s = pdf["k0"].to_numpy(), pdf["n"].to_numpy(), _sums(pdf)
         names, local = np.unique(pdf["k1"].to_numpy(), return_inverse=True)
         new = np.append(True, a[1:] != a[:-1])
-        same = np.flatnonzero(~new)
+        heads, same = np.flatnonzero(new), np.flatnonzero(~new)
+        total, of = np.add.reduceat(s, heads, axis=0), np.add.reduceat(n, heads)
+        means, owner = total / of[:, None], np.cumsum(new) - 1
+        v = np.column_stack([np.bincount(local, c, len(names)) for c in (n, *(s[:, j] - n * means[owner, j] for j in range(m)))])
         comp = joined(len(names), local[same - 1], local[same])
-        values = [names, local.astype(np.int32), np.flatnonzero(new), n, _sums(pdf), comp.astype(np.int32)]
-        return pd.DataFrame([(number, *[np.ascontiguousarray(v).tobytes() for v in values])], columns=["chunk", "names", "local", "heads", "n", "s", "comp"])
+        blocks = names // BLOCK
+        ends = np.append(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1, len(names))
+        n = n.astype(np.uint32) if n.max() < 1 << 32 else n
+        values = [names, blocks[ends - 1], ends, local.astype(np.int32), heads.astype(np.int32), n, comp.astype(np.int32), v, np.append((total.T @ means).ravel(), float(len(heads)))]
+        return pd.DataFrame([(number, *[np.ascontiguousarray(x).tobytes() for x in values])], columns=["chunk", "names", "blocks", "ends", "local", "heads", "n", "comp", "v", "fact"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -209,7 +220,7 @@ def _chunks(cells: DataFrame, size: int, parts: int) -> DataFrame:
         number, held, rows = TaskContext.get().partitionId() << 32, [], 0
         for pdf in batches:
             a = pdf["k0"].to_numpy()
-            if rows >= size and len(pdf):
+            if rows >= 2 * size and len(pdf):  # a partition holds about `size`
                 last = held[-1]["k0"].iloc[-1]
                 cut = int(np.searchsorted(a, last, side="right"))
                 held.append(pdf.iloc[:cut])
@@ -225,192 +236,147 @@ def _chunks(cells: DataFrame, size: int, parts: int) -> DataFrame:
             yield packed(number, pd.concat(held, ignore_index=True))
 
     made = cells.repartition(parts, "k0").sortWithinPartitions("k0", "k1")
-    return pin(made.mapInPandas(run, "chunk bigint, names binary, local binary, heads binary, n binary, s binary, comp binary"))
-
-
-def _by_block(names: np.ndarray, values: np.ndarray) -> pd.DataFrame:
-    """Rows (block, at, v) of a vector's entries at sorted `names`."""
-    block = names // BLOCK
-    cut = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(names) else np.zeros(0, int)
-    ends = np.append(cut[1:], len(names))
-    return pd.DataFrame({
-        "block": block[cut], "at": [(names[i:j] % BLOCK).astype(np.int32).tobytes() for i, j in zip(cut, ends)],
-        "v": [np.ascontiguousarray(values[i:j]).tobytes() for i, j in zip(cut, ends)],
-    })
+    return pin(made.mapInPandas(run, "chunk bigint, names binary, blocks binary, ends binary, local binary, heads binary, n binary, comp binary, v binary, fact binary"))
 
 
-PIECE = "block bigint, at binary, v binary"
+def _pieces(row, values: dict[str, np.ndarray]) -> pd.DataFrame:
+    """What a chunk has by name, cut by block."""
+    blocks, ends = _numbers(row.blocks, np.int64), _numbers(row.ends, np.int64).tolist()
+    spans = list(zip([0, *ends[:-1]], ends))
+    return pd.DataFrame({"block": blocks, "chunk": row.chunk, **{c: [v[i:j].tobytes() for i, j in spans] for c, v in values.items()}})
 
 
-class _Chunk:
-    """A chunk's cells, and the entries of a vector that it was sent."""
+def _through(row, x: np.ndarray, m: int) -> np.ndarray:
+    """For the entries (names x m) that a chunk was sent: averaged over each level of the first category and added up by name again.
 
-    def __init__(self, row: pd.Series, m: int):
-        self.names, self.local, self.heads = _numbers(row["names"], np.int64), _numbers(row["local"], np.int32), _numbers(row["heads"], np.int64)
-        self.n, self.m, self.row = _numbers(row["n"]), m, row
-        self.owner = np.repeat(np.arange(len(self.heads)), np.diff(np.append(self.heads, len(self.n))))
-        self.size = np.add.reduceat(self.n, self.heads)
-
-    def entries(self, sent: pd.DataFrame, m: int, kind=float) -> np.ndarray:
-        out = np.zeros((len(self.names), m), kind)
-        for block, v in zip(sent["block"].tolist(), sent["v"]):
-            i, j = np.searchsorted(self.names, [block * BLOCK, (block + 1) * BLOCK])
-            out[i:j] = _numbers(v, kind).reshape(-1, m)[self.names[i:j] % BLOCK]
-        return out
+    A column more holds labels; of those each name gets the least that it hangs together with.
+    """
+    local, heads = _numbers(row.local, np.int32), _numbers(row.heads, np.int32)
+    n = _numbers(row.n, np.uint32 if len(row.n) == len(row.local) else float).astype(float)
+    owner, of = np.repeat(np.arange(len(heads), dtype=np.int32), np.diff(np.append(heads, len(n)))), np.add.reduceat(n, heads)
+    out = np.empty(x.shape)
+    for j in range(m):
+        means = np.add.reduceat(n * x[local, j], heads) / of
+        out[:, j] = np.bincount(local, n * means[owner], len(x))
+    if x.shape[1] > m:
+        comp, least = _numbers(row.comp, np.int32), np.full(len(x), np.inf)
+        np.minimum.at(least, comp, x[:, m])
+        out[:, m] = least[comp]
+    return out
 
-    def back(self, x: np.ndarray) -> np.ndarray:
-        """Cells' values added up by level of the second category."""
-        return np.column_stack([np.bincount(self.local, c, len(self.names)) for c in x.T])
 
-    def through(self, x: np.ndarray) -> np.ndarray:
-        """Entries averaged over each level of the first category and added up again."""
-        means = np.add.reduceat(self.n[:, None] * x[self.local], self.heads, axis=0) / self.size[:, None]
-        return self.back(self.n[:, None] * means[self.owner])
+#: What a block of the second category's levels holds: which chunks ask for how many of its entries, and for which; then vectors, a label by level, and sums for the driver.
+STATE = "block bigint, chunks binary, sizes binary, at binary, root binary, g binary, x binary, r binary, p binary, q binary, label binary, facts binary"
+NAMES = [f.split()[0] for f in STATE.split(", ")]
 
 
-def _sent(vector: DataFrame, wants: DataFrame, chunks: DataFrame, each: Callable) -> DataFrame:
-    """What `each(chunk row, its blocks of the vector)` makes of every chunk; `vector` is (block, v)."""
+def _started(pieces: pd.DataFrame, m: int) -> pd.DataFrame:
+    """The first state of a block from (chunk, at, v) of all chunks that have cells in it."""
+    pieces = pieces.sort_values("chunk")
+    at, v = _numbers(b"".join(pieces["at"]), np.uint16), _numbers(b"".join(pieces["v"])).reshape(-1, m + 1)
+    found = np.column_stack([np.bincount(at, c, BLOCK) for c in v.T])
+    root = np.sqrt(found[:, :1])
+    g = np.divide(found[:, 1:], root, out=np.zeros((BLOCK, m)), where=root > 0)
+    block = int(pieces["block"].iloc[0])
+    label = np.where(root[:, 0] > 0, block * BLOCK + np.arange(BLOCK), -1).astype(float)
+    sizes = np.array([len(b) // 2 for b in pieces["at"]], np.int64)
+    values = [pieces["chunk"].to_numpy(np.int64), sizes, at, root, g, np.zeros((BLOCK, m)), g, g, np.zeros((BLOCK, m)), label, np.zeros(0)]
+    return pd.DataFrame([(block, *[np.ascontiguousarray(x).tobytes() for x in values])], columns=NAMES)
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return each(left.iloc[0], right) if len(left) else pd.DataFrame({"block": [], "at": [], "v": []})
 
-    return chunks.groupBy("chunk").cogroup(vector.join(wants, "block").groupBy("chunk")).applyInPandas(run, PIECE)
+def _moved(row, m: int, alpha: np.ndarray, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Residual and direction of a block after a step of conjugate gradients."""
+    r, p, q = (_numbers(v).reshape(-1, m) for v in (row.r, row.p, row.q))
+    r = r - alpha * q
+    return r, r + beta * p
 
 
-def _placed(pieces: pd.DataFrame, m: int) -> np.ndarray:
-    out = np.zeros((BLOCK, m))
-    for at, v in zip(pieces["at"], pieces["v"]):
-        out[_numbers(at, np.int32)] += _numbers(v).reshape(-1, m)
-    return out
+def _dealt(row, v: np.ndarray) -> Iterator[pd.DataFrame]:
+    """The entries of a block that each chunk asks for, about DEALT at a time."""
+    chunks, ends, at = _numbers(row.chunks, np.int64), np.cumsum(_numbers(row.sizes, np.int64)), _numbers(row.at, np.uint16)
+    of = ends // DEALT
+    heads = np.flatnonzero(np.append(True, of[1:] != of[:-1])).tolist()
+    for i, j in zip(heads, [*heads[1:], len(chunks)]):
+        begins = np.append(ends[i - 1] if i else 0, ends[i:j - 1])
+        yield pd.DataFrame({"chunk": chunks[i:j], "block": row.block, "v": [v[at[s:e]].tobytes() for s, e in zip(begins.tolist(), ends[i:j].tolist())]})
 
 
 def _two(cells: DataFrame, k: int) -> tuple[np.ndarray, int] | None:
-    """What two categories explain of the products of (Z, y), and the rank of both."""
+    """What two categories explain of the products of (Z, y), and the rank of both.
+
+    That is g'S+g for the matrix S of the second category after the first, scaled to a diagonal of 1; one pass over the chunks
+    per step of conjugate gradients. Each part that levels fall into has one direction without an estimate: passes also spread the least label.
+    """
     m = k + 1
-    spark = cells.sparkSession
-    slots = spark.sparkContext.defaultParallelism
-    count = cells.count()
-    size = min(MOST_CELLS, max(CELLS, count // (4 * slots)))
-    made = _chunks(cells, size, max(1, min(4 * slots, -(-count // size))))
-
-    def facts(pdf: pd.DataFrame) -> np.ndarray:
-        """Products of (Z, y) explained by the first category, and how many levels that has."""
-        total = np.zeros(m * m + 1)
-        for _, row in pdf.iterrows():
-            c = _Chunk(row, m)
-            s = np.add.reduceat(_numbers(row["s"]).reshape(-1, m), c.heads, axis=0)
-            total += np.append((s.T @ (s / c.size[:, None])).ravel(), len(c.heads))
-        return total
-
-    def wanted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for chunk, names in zip(pdf["chunk"].tolist(), pdf["names"]):
-                yield pd.DataFrame({"chunk": chunk, "block": np.unique(_numbers(names, np.int64) // BLOCK)})
+    count, size = cells.count(), max(1, 3 * CELLS // (m + 1))
+    made = _chunks(cells, m, size, max(1, -(-count // size)))
+    explained = np.sum([_numbers(r["fact"]) for r in made.select("fact").collect()], axis=0)
 
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for _, row in pdf.iterrows():
-                c = _Chunk(row, m)
-                s = _numbers(row["s"]).reshape(-1, m)
-                means = np.add.reduceat(s, c.heads, axis=0) / c.size[:, None]
-                yield _by_block(c.names, np.column_stack([c.back(c.n[:, None]), c.back(s - c.n[:, None] * means[c.owner])]))
-
-    def start(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = _placed(pdf, m + 1)
-        root = np.sqrt(found[:, :1])
-        r = np.divide(found[:, 1:], root, out=np.zeros((BLOCK, m)), where=root > 0)
-        here = pdf["block"].iloc[0] * BLOCK + np.arange(BLOCK)
-        return pd.DataFrame([(int(pdf["block"].iloc[0]), root.tobytes(), r.tobytes(), np.zeros((BLOCK, m)).tobytes(), r.tobytes(), r.tobytes(), np.where(root[:, 0] > 0, here, -1).tobytes())],
-                            columns=["block", "root", "g", "x", "r", "p", "label"])
-
-    explained = _added(made, facts)
-    wants = pin(made.select("chunk", "names").mapInPandas(wanted, "chunk bigint, block bigint"))
-    state = pin(made.mapInPandas(first, PIECE).groupBy("block").applyInPandas(start, "block bigint, root binary, g binary, x binary, r binary, p binary, label binary"))
-    chunks = made.drop("s").repartition(made.count(), "chunk").persist(StorageLevel.DISK_ONLY)
+            for row in pdf.itertuples(index=False):
+                names, v = _numbers(row.names, np.int64), _numbers(row.v).reshape(-1, m + 1)
+                yield _pieces(row, {"at": (names % BLOCK).astype(np.uint16), "v": v})
+
+    dealt = made.select("chunk", "names", "blocks", "ends", "v").mapInPandas(pieces, "block bigint, chunk bigint, at binary, v binary")
+    state = pin(dealt.groupBy("block").applyInPandas(lambda pdf: _started(pdf, m), STATE))
+    chunks = made.drop("names", "v", "fact").repartition(made.count(), "chunk").persist(StorageLevel.DISK_ONLY)
+    alpha = beta = np.zeros(m)
+    goal, moving, step = None, True, 0
     try:
-        rank = explained[-1] + _rank(state.select("block", "label"), wants, chunks)
-        more = _descend(state.drop("label"), wants, chunks, m)
+        while True:
+            step += 1
+            after = _passed(state, chunks, m, alpha, beta, moving)
+            unpin(state)
+            state = after
+            facts = np.sum([_numbers(r["facts"]) for r in state.select("facts").collect()], axis=0)
+            rr, pq, rq, qq = facts[: 4 * m].reshape(4, m)
+            moving = moving and facts[-3] > 0
+            goal = rr * LEFT**2 if goal is None else goal
+            calm = (rr <= goal).all()
+            if calm and not moving:
+                return (explained[:-1] + facts[4 * m : -3]).reshape(m, m), int(explained[-1] + facts[-2] - facts[-1])
+            if not calm and step >= STEPS:
+                return None
+            go = (rr > goal) & (pq > 0)
+            alpha = np.divide(rr, pq, out=np.zeros(m), where=go)
+            beta = np.divide(np.maximum(rr - 2 * alpha * rq + alpha**2 * qq, 0.0), rr, out=np.zeros(m), where=go)
     finally:
         chunks.unpersist()
-    return None if more is None else (explained[:-1].reshape(m, m) + more, int(rank))
-
-
-def _rank(state: DataFrame, wants: DataFrame, chunks: DataFrame) -> int:
-    """Levels of the second category less the parts that levels fall into: each part has one direction without an estimate."""
-
-    def each(row: pd.Series, sent: pd.DataFrame) -> pd.DataFrame:
-        names, comp = _numbers(row["names"], np.int64), _numbers(row["comp"], np.int32)
-        label = np.zeros(len(names), np.int64)
-        for block, v in zip(sent["block"].tolist(), sent["v"]):
-            i, j = np.searchsorted(names, [block * BLOCK, (block + 1) * BLOCK])
-            label[i:j] = _numbers(v, np.int64)[names[i:j] % BLOCK]
-        least = np.full(len(names), np.iinfo(np.int64).max)
-        np.minimum.at(least, comp, label)
-        new = least[comp] < label
-        return _by_block(names[new], least[comp][new])
-
-    def lower(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        label = _numbers(left["label"].iloc[0], np.int64).copy()
-        for at, v in zip(right["at"], right["v"]):
-            at = _numbers(at, np.int32)
-            label[at] = np.minimum(label[at], _numbers(v, np.int64))
-        block = int(left["block"].iloc[0])
-        roots = int((label == block * BLOCK + np.arange(BLOCK)).sum())
-        return pd.DataFrame([(block, label.tobytes(), int((label >= 0).sum()), roots, len(right) > 0)], columns=["block", "label", "levels", "roots", "moved"])
-
-    while True:
-        pieces = _sent(state.select("block", F.col("label").alias("v")), wants, chunks, each)
-        state = pin(state.select("block", "label").groupBy("block").cogroup(pieces.groupBy("block")).applyInPandas(lower, "block bigint, label binary, levels bigint, roots bigint, moved boolean"))
-        levels, roots, moved = state.agg(F.sum("levels"), F.sum("roots"), F.max("moved")).first()
-        if not moved:
-            return levels - roots
-
-
-def _descend(state: DataFrame, wants: DataFrame, chunks: DataFrame, m: int) -> np.ndarray | None:
-    """g'S+g for the matrix S of the second category after the first, scaled to a diagonal of 1; one pass over the chunks per step."""
-    names = ["block", "root", "g", "x", "r", "p"]
-    schema = "block bigint, root binary, g binary, x binary, r binary, p binary"
-    alpha = beta = None
-    at = state
-    goal = None
-
-    def moved(alpha, beta):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                for row in pdf.itertuples(index=False):
-                    x, r, p, q = (_numbers(v).reshape(-1, m) for v in (row.x, row.r, row.p, row.q))
-                    r2 = r - alpha * q
-                    yield pd.DataFrame([(row.block, row.root, row.g, (x + alpha * p).tobytes(), r2.tobytes(), (r2 + beta * p).tobytes())], columns=names)
-        return run
-
-    def scaled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unpin(state)
+
+
+def _passed(state: DataFrame, chunks: DataFrame, m: int, alpha: np.ndarray, beta: np.ndarray, moving: bool) -> DataFrame:
+    """The state after a step of `alpha` and `beta`, with its product with S; each chunk is sent just the entries that it has cells for."""
+
+    def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                root, p = _numbers(row.root)[:, None], _numbers(row.p).reshape(-1, m)
-                yield pd.DataFrame({"block": [row.block], "v": [np.divide(p, root, out=np.zeros(p.shape), where=root > 0).tobytes()]})
+                root, p = _numbers(row.root)[:, None], _moved(row, m, alpha, beta)[1]
+                v = np.divide(p, root, out=np.zeros(p.shape), where=root > 0)
+                yield from _dealt(row, np.column_stack([v, _numbers(row.label)]) if moving else v)
 
-    def each(row: pd.Series, sent: pd.DataFrame) -> pd.DataFrame:
-        c = _Chunk(row, m)
-        return _by_block(c.names, c.through(c.entries(sent, m)))
+    def answered(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        row = next(left.itertuples(index=False))
+        x = _numbers(b"".join(right.sort_values("block")["v"])).reshape(-1, m + moving)
+        return _pieces(row, {"v": _through(row, x, m)})
 
     def times(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        row = left.iloc[0]
-        root = _numbers(row["root"])[:, None]
-        g, x, r, p = (_numbers(row[c]).reshape(-1, m) for c in ("g", "x", "r", "p"))
-        q = p - np.divide(_placed(right, m), root, out=np.zeros(p.shape), where=root > 0)
-        facts = np.concatenate([(r * r).sum(0), (p * q).sum(0), (r * q).sum(0), (q * q).sum(0), (x.T @ g).ravel()])
-        return pd.DataFrame([(*[row[c] for c in names], q.tobytes(), facts.tobytes())], columns=[*names, "q", "facts"])
-
-    for _ in range(STEPS):
-        pieces = _sent(at.select("block", "root", "p").mapInPandas(scaled, "block bigint, v binary"), wants, chunks, each)
-        table = pin(at.groupBy("block").cogroup(pieces.groupBy("block")).applyInPandas(times, schema + ", q binary, facts binary"))
-        facts = np.sum([_numbers(r["facts"]) for r in table.select("facts").collect()], axis=0)
-        rr, pq, rq, qq = facts[: 4 * m].reshape(4, m)
-        goal = rr * LEFT**2 if goal is None else goal
-        if (rr <= goal).all():
-            return facts[4 * m :].reshape(m, m)
-        go = (rr > goal) & (pq > 0)
-        alpha = np.divide(rr, pq, out=np.zeros(m), where=go)
-        beta = np.divide(np.maximum(rr - 2 * alpha * rq + alpha**2 * qq, 0.0), rr, out=np.zeros(m), where=go)
-        at = table.mapInPandas(moved(alpha, beta), schema)
-    return None
+        row = next(left.itertuples(index=False))
+        root, g, at = _numbers(row.root)[:, None], _numbers(row.g).reshape(-1, m), _numbers(row.at, np.uint16)
+        x = _numbers(row.x).reshape(-1, m) + alpha * _numbers(row.p).reshape(-1, m)
+        r, p = _moved(row, m, alpha, beta)
+        v = _numbers(b"".join(right.sort_values("chunk")["v"])).reshape(len(at), -1)
+        back = np.column_stack([np.bincount(at, v[:, j], BLOCK) for j in range(m)])
+        q = p - np.divide(back, root, out=np.zeros(p.shape), where=root > 0)
+        old = _numbers(row.label)
+        label = old.copy()
+        if moving:
+            np.minimum.at(label, at, v[:, m])
+        parts = [(label < old).sum(), (label >= 0).sum(), (label == row.block * BLOCK + np.arange(BLOCK)).sum()]
+        facts = np.concatenate([(r * r).sum(0), (p * q).sum(0), (r * q).sum(0), (q * q).sum(0), (x.T @ g).ravel(), parts])
+        return pd.DataFrame([(row.block, row.chunks, row.sizes, row.at, row.root, row.g, *[np.ascontiguousarray(z).tobytes() for z in (x, r, p, q, label, facts)])], columns=NAMES)
+
+    sent = state.select("block", "chunks", "sizes", "at", "root", "r", "p", "q", "label").mapInPandas(asked, "chunk bigint, block bigint, v binary")
+    back = (chunks if moving else chunks.drop("comp")).groupBy("chunk").cogroup(sent.groupBy("chunk")).applyInPandas(answered, "block bigint, chunk bigint, v binary")
+    return pin(state.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(times, STATE))

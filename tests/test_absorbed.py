@@ -1,5 +1,7 @@
 """Wide categories that are projected out, against the dense solution."""
 
+from types import SimpleNamespace
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -55,3 +57,28 @@ def test_collinear_columns_are_left_to_the_general_solver(spark, monkeypatch):
 def test_joined_levels():
     label = A.joined(9, np.array([0, 1, 2, 5, 8]), np.array([1, 2, 3, 6, 7]))
     assert label.tolist() == [0, 0, 0, 0, 4, 5, 5, 7, 7]
+
+
+def test_chunks_stay_small_however_long_the_table(spark, monkeypatch):
+    """20,000 cells in chunks of about 150: a chunk's size does not follow the table, and both categories together explain what a dense solution does."""
+    rng = np.random.default_rng(4)
+    first, second = np.repeat(np.arange(2000), 10), np.concatenate([rng.choice(300, 10, replace=False) for _ in range(2000)])
+    n, y = rng.integers(1, 4, len(first)).astype(float), rng.normal(size=len(first))
+    cells = spark.createDataFrame(pd.DataFrame({"k0": first, "k1": second, "n": n, "s0": n * y}))
+    monkeypatch.setattr(A, "CELLS", 100)
+    made, inner = [], A._chunks
+    monkeypatch.setattr(A, "_chunks", lambda *a: made.append(inner(*a)) or made[-1])
+    explained, rank = A._two(cells, 0)
+    sizes = [len(r["local"]) // 4 for r in made[0].select("local").collect()]
+    assert sum(sizes) == len(first) and max(sizes) <= 400
+    x = np.zeros((len(first), 2300))
+    x[np.arange(len(first)), first] = x[np.arange(len(first)), 2000 + second] = 1.0
+    fit = np.linalg.lstsq((x * n[:, None]).T @ x, x.T @ (n * y), rcond=1e-10)
+    assert rank == fit[2] == 2299
+    np.testing.assert_allclose(explained, [[fit[0] @ (x.T @ (n * y))]], rtol=1e-9)
+
+
+def test_a_chunk_is_sent_only_what_it_asks_for():
+    row = SimpleNamespace(chunks=np.array([3, 9]).tobytes(), sizes=np.array([1, 2]).tobytes(), at=np.array([7, 0, 7], np.uint16).tobytes(), block=5)
+    sent = pd.concat(A._dealt(row, np.arange(A.BLOCK * 2.0).reshape(-1, 2)))
+    assert sent["chunk"].tolist() == [3, 9] and [np.frombuffer(v).tolist() for v in sent["v"]] == [[14.0, 15.0], [0.0, 1.0, 14.0, 15.0]]
