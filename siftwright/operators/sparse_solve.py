@@ -70,14 +70,14 @@ class Reduced:
         return (self.core @ x - self.back @ self._means(x)) / self.root[:, None]
 
     def _descend(self, right: np.ndarray) -> np.ndarray:
-        """Conjugate gradients for all right sides side by side; each must lie in the range of the matrix."""
+        """Conjugate gradients for all right sides side by side; each must lie in the range of the matrix, and rests once it is solved: further steps would only add up rounding."""
         x, r = np.zeros_like(right), right.copy()
         p, left = r.copy(), (r * r).sum(0)
         goal, least, idle = left * LEFT**2, left.sum(), 0
         while (left > goal).any() and idle < 200:
             q = self._times(p)
             along = (p * q).sum(0)
-            step = np.divide(left, along, out=np.zeros_like(left), where=along > 0)
+            step = np.divide(left, along, out=np.zeros_like(left), where=(along > 0) & (left > goal))
             x += step * p
             r -= step * q
             now = (r * r).sum(0)
